@@ -4,14 +4,34 @@ from __future__ import annotations
 
 import atexit
 import math
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Give executors this package, once a context, wherever the driver found it."""
+    context = spark.sparkContext
+    if getattr(context, "_tidelake_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="tidelake-code-")  # on the driver, which serves it while it lives
+    atexit.register(shutil.rmtree, folder, True)
+    archive = Path(folder, "tidelake.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._tidelake_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidelake.llm.common import read_table
 from tidelake.llm.minhash import near_duplicates
+from tidelake.llm.suffixdedup import remove_repeats
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_minhash": op9_minhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_suffix_dedup": op5_suffix_dedup, "op9_minhash": op9_minhash}
 
 ORACLE_SQL: dict[str, str] = {}
