@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidelake.llm.common import read_table
+from tidelake.llm.linededup import drop_boilerplate
 from tidelake.llm.minhash import near_duplicates
 from tidelake.llm.suffixdedup import remove_repeats
 
@@ -15,10 +17,33 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = drop_boilerplate(read_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP6_SQL = """
+WITH lines AS (
+  SELECT doc_id, source, i - 1 AS pos, parts[i] AS line, trim(parts[i]) AS k
+  FROM (SELECT doc_id, source, parts, unnest(range(1, len(parts) + 1)) AS i
+        FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL))
+), boiler AS (
+  SELECT k, min(doc_id) AS first FROM lines WHERE k <> '' GROUP BY k HAVING count(DISTINCT source) >= 10
+), marked AS (
+  SELECT l.doc_id, l.pos, l.line, (b.k IS NOT NULL AND l.doc_id <> b.first) AS gone FROM lines l LEFT JOIN boiler b ON l.k = b.k
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+UNION ALL
+SELECT doc_id, 0, 0, sha256('') FROM documents WHERE text IS NULL
+"""
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_suffix_dedup": op5_suffix_dedup, "op9_minhash": op9_minhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_suffix_dedup": op5_suffix_dedup, "op6_line_dedup": op6_line_dedup, "op9_minhash": op9_minhash}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}
