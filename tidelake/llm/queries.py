@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidelake.llm.common import read_table
 from tidelake.llm.linededup import drop_boilerplate
 from tidelake.llm.minhash import near_duplicates
+from tidelake.llm.packing import pack
 from tidelake.llm.suffixdedup import remove_repeats
 
 
@@ -44,6 +45,10 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_suffix_dedup": op5_suffix_dedup, "op6_line_dedup": op6_line_dedup, "op9_minhash": op9_minhash}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_suffix_dedup": op5_suffix_dedup, "op6_line_dedup": op6_line_dedup, "op9_minhash": op9_minhash, "op10_packing": op10_packing}
 
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}

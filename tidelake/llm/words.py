@@ -47,10 +47,10 @@ _POW = _powers(_BASE, BLOCK + 1)
 _INV = _powers(_INVERSE, BLOCK + 1)
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of texts laid end to end; words never cross an offset."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of texts laid end to end; words never cross an offset. ``space``: bytes outside words."""
     inside = np.zeros(len(data) + 2, bool)
-    np.logical_not(SPACE[data], out=inside[1:-1])
+    np.logical_not(space[data], out=inside[1:-1])
     cut = np.zeros(len(data) + 1, bool)  # cut[i]: a text ends before byte i
     cut[offsets] = True
     starts = np.flatnonzero(inside[1:] & (cut | ~inside[:-1]))
@@ -115,9 +115,9 @@ def batches_of(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, np.n
         i = j
 
 
-def scan(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def scan(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words, the first word of each text (and the end), and the words' starts and ends."""
-    starts, ends = word_bounds(data, offsets)
+    starts, ends = word_bounds(data, offsets, space)
     return hash_ranges(data, starts, ends), np.searchsorted(starts, offsets), starts, ends
 
 
