@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.llm.common import read_table
+from tidelake.llm import langid
 from tidelake.llm.linededup import drop_boilerplate
 from tidelake.llm.minhash import near_duplicates
 from tidelake.llm.packing import pack
 from tidelake.llm.suffixdedup import remove_repeats
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = F.coalesce(langid.held_out(), F.lit(False))
+    model = langid.fit(docs, ~out)
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -49,6 +57,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_suffix_dedup": op5_suffix_dedup, "op6_line_dedup": op6_line_dedup, "op9_minhash": op9_minhash, "op10_packing": op10_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_langid": op3_langid, "op5_suffix_dedup": op5_suffix_dedup, "op6_line_dedup": op6_line_dedup, "op9_minhash": op9_minhash, "op10_packing": op10_packing}
 
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}
