@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.llm.common import read_table
-from tidelake.llm import langid
+from tidelake.llm import decontam, langid
 from tidelake.llm.linededup import drop_boilerplate
 from tidelake.llm.minhash import near_duplicates
 from tidelake.llm.packing import pack
@@ -49,6 +49,10 @@ SELECT doc_id, 0, 0, sha256('') FROM documents WHERE text IS NULL
 """
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.flag(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_langid": op3_langid, "op5_suffix_dedup": op5_suffix_dedup, "op6_line_dedup": op6_line_dedup, "op9_minhash": op9_minhash, "op10_packing": op10_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_langid": op3_langid, "op5_suffix_dedup": op5_suffix_dedup, "op6_line_dedup": op6_line_dedup, "op7_decontamination": op7_decontamination, "op9_minhash": op9_minhash, "op10_packing": op10_packing}
 
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}
