@@ -13,6 +13,26 @@ from tidelake.llm.linededup import drop_boilerplate
 from tidelake.llm.minhash import near_duplicates
 from tidelake.llm.packing import pack
 from tidelake.llm.suffixdedup import remove_repeats
+from tidelake.llm.topk import quantised, top_k
+
+
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = quantised(read_table(spark, sf_dir, "embeddings"))
+    return top_k(vectors.where("id % 20 = 0"), vectors)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, r.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(r.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +89,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_toxicity": op2_toxicity, "op3_langid": op3_langid, "op5_suffix_dedup": op5_suffix_dedup, "op6_line_dedup": op6_line_dedup, "op7_decontamination": op7_decontamination, "op9_minhash": op9_minhash, "op10_packing": op10_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_topk": op1_topk, "op2_toxicity": op2_toxicity, "op3_langid": op3_langid, "op5_suffix_dedup": op5_suffix_dedup, "op6_line_dedup": op6_line_dedup, "op7_decontamination": op7_decontamination, "op9_minhash": op9_minhash, "op10_packing": op10_packing}
 
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op6_line_dedup": OP6_SQL}
