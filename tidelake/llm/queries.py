@@ -12,6 +12,7 @@ from tidelake.llm import decontam, langid, toxicity
 from tidelake.llm.linededup import drop_boilerplate
 from tidelake.llm.minhash import near_duplicates
 from tidelake.llm.packing import pack
+from tidelake.llm.pii import personal_data
 from tidelake.llm.suffixdedup import remove_repeats
 from tidelake.llm.topk import quantised, top_k
 
@@ -50,6 +51,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(read_table(spark, sf_dir, "documents")).drop("base", "added")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -89,6 +94,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_topk": op1_topk, "op2_toxicity": op2_toxicity, "op3_langid": op3_langid, "op5_suffix_dedup": op5_suffix_dedup, "op6_line_dedup": op6_line_dedup, "op7_decontamination": op7_decontamination, "op9_minhash": op9_minhash, "op10_packing": op10_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_topk": op1_topk, "op2_toxicity": op2_toxicity, "op3_langid": op3_langid, "op4_pii": op4_pii, "op5_suffix_dedup": op5_suffix_dedup, "op6_line_dedup": op6_line_dedup, "op7_decontamination": op7_decontamination, "op9_minhash": op9_minhash, "op10_packing": op10_packing}
 
 ORACLE_SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op6_line_dedup": OP6_SQL}
