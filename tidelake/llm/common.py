@@ -67,6 +67,13 @@ def _sweep() -> None:
             return
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, swept when the driver ends."""
+    path = f"{shared_dir(spark)}/tidelake-{label}-{uuid.uuid4().hex[:12]}"
+    _written.append((spark, path))
+    return path
+
+
 class Stage:
     """A table written once to the shared folder and read back.
 
@@ -74,10 +81,9 @@ class Stage:
 
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/tidelake-{label}-{uuid.uuid4().hex[:12]}"
+        self.path = scratch_path(self.spark, label)
         self.schema = df.schema
         df.write.option("compression", "zstd").parquet(self.path)
-        _written.append((self.spark, self.path))
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)

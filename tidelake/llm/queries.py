@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import read_table
+from tidelake.llm.common import read_table, scratch_path
 from tidelake.llm import decontam, langid, toxicity
 from tidelake.llm.linededup import drop_boilerplate
 from tidelake.llm.minhash import near_duplicates
 from tidelake.llm.packing import pack
 from tidelake.llm.pii import personal_data
 from tidelake.llm.suffixdedup import remove_repeats
+from tidelake.llm.tokenfile import read_index, write_tokens
 from tidelake.llm.topk import quantised, top_k
 
 
@@ -86,6 +87,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.flag(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = scratch_path(spark, "tokens")
+    write_tokens(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return read_index(spark, path)
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -94,6 +103,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_topk": op1_topk, "op2_toxicity": op2_toxicity, "op3_langid": op3_langid, "op4_pii": op4_pii, "op5_suffix_dedup": op5_suffix_dedup, "op6_line_dedup": op6_line_dedup, "op7_decontamination": op7_decontamination, "op9_minhash": op9_minhash, "op10_packing": op10_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_topk": op1_topk, "op2_toxicity": op2_toxicity, "op3_langid": op3_langid, "op4_pii": op4_pii, "op5_suffix_dedup": op5_suffix_dedup, "op6_line_dedup": op6_line_dedup, "op7_decontamination": op7_decontamination, "op8_token_files": op8_token_files, "op9_minhash": op9_minhash, "op10_packing": op10_packing}
 
 ORACLE_SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op6_line_dedup": OP6_SQL}
