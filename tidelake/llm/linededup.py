@@ -44,7 +44,8 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     decided = spread.where(F.col("sites") > min_sites * (1 + MARGIN)).select("h1", "h2", "first").unionAll(close.join(exact, ["h1", "h2"]).select("h1", "h2", "first"))
     gone = Stage(lines.join(decided, ["h1", "h2"]).where("id <> first").select("id", "pos").distinct().groupBy("id").agg(F.collect_list("pos").alias("_gone")), "gone").read()
 
-    joined = docs.join(gone.withColumnRenamed("id", "_id"), F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
+    # a merge join at every size: the texts move once, and the table of cut lines may grow as they do
+    joined = docs.join(gone.withColumnRenamed("id", "_id").hint("merge"), F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
     parts = _lines(F.col(text_col))
     kept = F.filter(parts, lambda x, i: ~F.array_contains("_gone", i))
     cut = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
