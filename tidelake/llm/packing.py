@@ -11,21 +11,27 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import blocks_for
+from tidelake.llm.common import Stage, blocks_for
+from tidelake.llm.words import batches_of, word_bounds
 
 CAPACITIES = (512, 1024, 2048, 4096)
 GROUP_PIECES = 32768
 SCHEMA = "id long, piece int, offset long, n_tokens long, bin long, position int, bin_capacity long, bin_used long"
 
 
-def token_count(text: Column) -> Column:
-    """Whitespace-separated words, and one for the end of the document."""
-    trimmed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\t-\r ]+", " "))
-    return F.when(trimmed == "", 0).otherwise(F.length(trimmed) - F.length(F.translate(trimmed, " ", "")) + 1).cast("long") + 1
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) to (id, n): words, and one for the end of the document."""
+    for batch in batches:
+        n = np.ones(batch.num_rows, np.int64)
+        for i, data, offsets in batches_of(batch.column(1)):
+            starts, _ = word_bounds(data, offsets)
+            n[i : i + len(offsets) - 1] += np.diff(np.searchsorted(starts, offsets))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], ["id", "n"])
 
 
 def best_fit(sizes: list[int], capacities: tuple[int, ...], overhead: float = 0.0) -> tuple[list[int], list[int]]:
@@ -97,13 +103,18 @@ def _pack(capacities: tuple[int, ...], overhead: float):
 def pack(docs: DataFrame, id_col: str = "doc_id", tokens: Column | str | None = None, text_col: str = "text", capacities: tuple[int, ...] = CAPACITIES, overhead: float = 0.0, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """``(id_col, piece, offset, n_tokens, bin, position, bin_capacity, bin_used)``, one row per piece.
 
-    ``tokens`` gives each document's length (by default the words of ``text_col`` and an end mark; null counts as 0, and a
-    document of length 0 has no piece). Documents longer than the largest capacity are cut into full pieces and a rest.
+    ``tokens`` gives each document's length (by default the words of ``text_col`` and an end mark, which a null text has too; a
+    document of length 0 or null has no piece). Documents longer than the largest capacity are cut into full pieces and a rest.
     Bins hold at most their capacity, one of ``capacities``. Repeated ids are packed once per row; a null id is kept.
     Other columns are ignored. An empty table gives an empty result. Results depend on the rows only, not on their
     order or partitions."""
-    length = token_count(F.col(text_col)) if tokens is None else (F.col(tokens) if isinstance(tokens, str) else tokens)
-    sized = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(length.cast("long"), F.lit(0)).alias("n")).where("n > 0")
+    key = F.col(id_col).cast("long").alias("id")
+    if tokens is None:
+        sized = docs.select(key, F.col(text_col).cast("string").alias("text")).mapInArrow(_lengths, "id long, n long")
+    else:
+        length = F.col(tokens) if isinstance(tokens, str) else tokens
+        sized = docs.select(key, F.coalesce(length.cast("long"), F.lit(0)).alias("n"))
+    sized = Stage(sized.where("n > 0"), "lengths").read()
     count = sized.agg(F.sum(F.ceil(F.col("n") / max(capacities)))).first()[0] or 0
     groups = blocks_for(count, group_pieces)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
