@@ -271,7 +271,7 @@ def ema_line(line: Sequence[float | None], alpha: float) -> list[float | None]:
 def write_ndjson(rows: DataFrame, out, batch: int = 1000) -> int:
     """SNK-11: rows as JSON lines, a summary last; streams partition by partition."""
     n, lines = 0, []
-    for text in rows.toJSON().toLocalIterator():
+    for (text,) in rows.select(F.to_json(F.struct("*"))).toLocalIterator():
         lines.append(text)
         n += 1
         if len(lines) == batch:
