@@ -2,7 +2,7 @@
 
 One pass over the documents looks up every word n-gram in the benchmark's (a table whose size is bounded by
 ``slice_words``; a larger benchmark is taken slice by slice) and stages the few documents with a match. Document frequencies
-of the matched n-grams, over all documents, then tell which n-grams of each stretch of an item are rarest; those are its seeds.
+of the matched n-grams, over all documents, then tell which n-grams of an item are rare; those are its seeds.
 Each cluster of seed matches on neighbouring diagonals is one local alignment of the item with the text around it.
 """
 
@@ -20,7 +20,7 @@ from tidelake.llm.common import Stage, blocks_for
 from tidelake.llm.words import U, batches_of, grams, scan
 
 GRAM = 4
-STRETCH = 6  # of so many neighbouring n-grams of an item, the rarest is a seed
+COMMON, COMMONER = 100, 8
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 SLICE_WORDS = 1 << 20
@@ -156,7 +156,19 @@ def _scores(shared, seeds) -> object:
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = GRAM, stretch: int = STRETCH, slice_words: int = SLICE_WORDS) -> DataFrame:
+def _rare(item: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Which n-grams of the items are seeds: those in at most COMMON + COMMONER * d documents, d being the median over the item's
+    n-grams that occur at all. A passage that many documents hold keeps its seeds; a stock phrase in it has far more and goes."""
+    seed = np.zeros(len(item), bool)
+    order = np.argsort(item, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
+        there = count[own][count[own] > 0]
+        if len(there):
+            seed[own] = (count[own] > 0) & (count[own] <= COMMON + COMMONER * np.median(there))
+    return seed
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = GRAM, slice_words: int = SLICE_WORDS) -> DataFrame:
     """``(id_col, item_id, score, word)``: each pair of a document and a benchmark item that share a seed, with the best local
     alignment's score (1: the whole item, in order) and the word about where it lies.
 
@@ -179,14 +191,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         frequency = np.zeros(len(index.grams), np.int64)
         for r in near.select(F.explode(F.array_distinct("found")).alias("gram")).groupBy("gram").count().collect():  # at most one row per n-gram of the slice
             frequency[r["gram"]] = r["count"]
-        count = np.empty(len(index.item), np.int64)
-        for k in range(len(index.grams)):
-            count[index.first[k] : index.first[k + 1]] = frequency[k]
-        seed = np.zeros(len(index.item), bool)
-        keys = index.item * (1 << 40) + index.pos // stretch
-        order = np.lexsort((index.pos, count, keys))
-        keys = keys[order]
-        seed[order[np.concatenate([[True], keys[1:] != keys[:-1]])]] = True
+        count = np.repeat(frequency, np.diff(index.first))
+        seed = _rare(index.item, count)
         pairs = near.mapInArrow(_scores(shared, spark.sparkContext.broadcast(seed)), "id long, item_id long, score double, word long")
         result = pairs if result is None else result.unionAll(pairs)
     if result is None:
