@@ -44,6 +44,13 @@ def gauges(rows: DataFrame, keys: list[str], value: str, high_water: str) -> Dat
     return rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.greatest(F.max(high_water), F.max(value)).alias("peak"))
 
 
+def rate_metrics(rows: DataFrame, scales: dict[str, tuple[float, str]]) -> DataFrame:
+    """BEN-5: per (subject, metric) the dispersion of rates over windows, in the unit that ``scales`` names (factor, unit)."""
+    known = rows.sparkSession.createDataFrame([(m, float(f), u) for m, (f, u) in scales.items()], "metric string, factor double, unit string")
+    scaled = rows.join(F.broadcast(known), "metric").withColumn("value", F.col("rate") * F.col("factor"))  # one row a metric
+    return dispersion(scaled, ["subject", "metric", "unit"], "value")
+
+
 def disks(rows: DataFrame, line: str = "line") -> DataFrame:
     """BEN-7: sectors read and written of whole disks (no partitions, loop or ram devices) from lines of disk counters."""
     fields = F.split(F.trim(F.col(line)), r"\s+")

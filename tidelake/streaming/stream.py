@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidelake.plans.config import Config
 from tidelake.sinks.roll import append_batch
@@ -30,35 +30,25 @@ def record_stream(bus: DataFrame, store: Store, config: Config, self_context: st
     return bus.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-class Throttle(StatefulProcessor):
-    """STR-4 on a stream: per (path, context) the time of the last kept row, forgotten after ``ttl_ms`` without one."""
+def throttle_stream(rows: DataFrame, schema: str) -> DataFrame:
+    """STR-4 on a stream: the state of a (path, context) is the time of its last kept row; the caps bound how many there are.
 
-    def __init__(self, ttl_ms: int = 3_600_000):
-        self.ttl_ms = ttl_ms
+    ``rows`` have path, context, recv_ts, seq and rate; ``schema`` is theirs."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts long", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
-        for part in rows:
+    def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        for part in parts:
             part = part.sort_values("seq")
-            keep = []
+            kept = []
             for now, least in zip(part["recv_ts"], part["rate"], strict=True):
                 ok = last is None or not 0 <= now - last < least
                 last = int(now) if ok else last
-                keep.append(ok)
-            yield part[keep]
+                kept.append(ok)
+            yield part[kept]
         if last is not None:
-            self.last.update((last,))
-
-    def close(self) -> None:
-        pass
-
+            state.update((last,))
 
-def throttle_stream(rows: DataFrame, schema: str, ttl_ms: int = 3_600_000) -> DataFrame:
-    """``rows`` have path, context, recv_ts, seq and rate; needs the RocksDB state store."""
-    return rows.groupBy("path", "context").transformWithStateInPandas(Throttle(ttl_ms), schema, "Append", "ProcessingTime")
+    return rows.groupBy("path", "context").applyInPandasWithState(keep, schema, "ts long", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_average(samples: DataFrame, width_ms: int, delay: str = "10 minutes") -> DataFrame:
