@@ -18,9 +18,9 @@ import zlib
 import numpy as np
 
 MAGIC = b"TLB1"
-LANES, LANE_LEAST = 4096, 256
+LANES, LANE_LEAST = 8192, 128
 ALPHABET_BITS, MIX_BITS, ZERO_BITS = 16, 12, 22
-REBUILD = 32  # steps between new order-0 tables
+REBUILD = 16  # steps between new order-0 tables
 HASH_BITS = 18
 U = np.uint64
 _MASK = U((1 << 48) - 1)

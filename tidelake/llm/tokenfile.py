@@ -12,6 +12,7 @@ what white space parts, so a text's ids are those of its words in order.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +35,8 @@ FILE = "part int, block int, doc_ids array<bigint>, counts array<bigint>, first_
 class WordTokenizer:
     """Ids of texts by way of their distinct words; keeps at most ``most`` words."""
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -43,7 +45,7 @@ class WordTokenizer:
 
     def _encode(self, words: list[str]) -> list[list[int]]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [e.ids for e in encode(words, add_special_tokens=False)]
+        return [e.ids for k in range(0, len(words), 8192) for e in encode(words[k : k + 8192], add_special_tokens=False)]
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
         found = self._encode(words)
@@ -99,7 +101,7 @@ def _write(path: str, end_id: int, block_ids: int):
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for i, data, offsets in batches_of(batch.column(1), 4 << 20):
+            for i, data, offsets in batches_of(batch.column(1), 2 << 20):
                 ids, sizes = tokenizer.ids(data, offsets)
                 stops = np.cumsum(sizes)
                 every = np.insert(ids, stops, end_id).astype(np.int32)
