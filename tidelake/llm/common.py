@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import shutil
 import tempfile
@@ -97,6 +98,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return Stage(df, label).read()
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def blocks_for(rows: int, per_block: int) -> int:
     """How many blocks of about ``per_block`` rows; at least one, no upper cap."""
     return max(1, math.ceil(rows / per_block))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import Stage, blocks_for
+from tidelake.llm.common import Stage, blocks_for, forget_shuffles
 from tidelake.llm.suffix import suffix_batches
 from tidelake.llm.words import U, batches_of, mix
 
@@ -183,6 +183,7 @@ def _send_segments(length: int, seed: int, buckets: int):
     """Per pack: a row with bucket -1 that says where its repeated runs are, and rows of segments by bucket."""
 
     def of(row: dict) -> list[tuple]:
+        press = zstandard.ZstdCompressor(level=3)
         pack = _Pack(row["ids"], row["sizes"], row["data"])
         values, docs, first, last = pack.runs(length, seed)
         distinct, _ = _distinct(values, docs)
@@ -207,7 +208,7 @@ def _send_segments(length: int, seed: int, buckets: int):
         for k, a, b in _groups(bucket[order]):
             mine = own[order[a:b]]
             text = b"".join(data[x:y] for x, y in zip(first[mine].tolist(), (last[mine] + length).tolist(), strict=True))
-            out.append((row["pack"], k, mine.astype(np.int32).tobytes(), (last - first + length)[mine].astype(np.uint8).tobytes(), ids[mine].tobytes(), text))
+            out.append((row["pack"], k, mine.astype(np.int32).tobytes(), (last - first + length)[mine].astype(np.uint8).tobytes(), ids[mine].tobytes(), press.compress(text)))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,6 +223,7 @@ def _judge(length: int):
     def run(table: pa.Table) -> pa.Table:
         """One bucket: masks of the windows that also start in a document with a smaller id."""
         rows = table.to_pylist()
+        unpress = zstandard.ZstdDecompressor()
         known: dict[bytes, int] = {}
         least: list[int] = []
         uses = []
@@ -230,8 +232,9 @@ def _judge(length: int):
             ids = np.frombuffer(row["c"], np.int64)
             stops = np.cumsum(sizes, dtype=np.int64)
             use = np.empty(len(sizes), np.int64)
+            text = unpress.decompress(row["d"])
             for i, (a, b, d) in enumerate(zip((stops - sizes).tolist(), stops.tolist(), ids.tolist(), strict=True)):
-                j = known.setdefault(row["d"][a:b], len(least))
+                j = known.setdefault(text[a:b], len(least))
                 if j == len(least):
                     least.append(d)
                 elif d < least[j]:
@@ -338,6 +341,17 @@ def _cut(length: int):
     return run
 
 
+def _repeated_segments(packs: DataFrame, length: int, seed: int, buckets: int) -> DataFrame:
+    sent = packs.mapInArrow(_send_minimizers(length, seed, buckets), PARTS)
+    hits = sent.groupBy("bucket").applyInArrow(_find_repeated, PARTS).groupBy("pack").agg(F.collect_list(F.struct("bucket", "a")).alias("hits"))
+    return Stage(packs.join(hits, "pack").mapInArrow(_send_segments(length, seed, buckets), PARTS), "segments").read()
+
+
+def _verdicts(segments: DataFrame, length: int) -> DataFrame:
+    judged = segments.where("bucket >= 0").groupBy("bucket").applyInArrow(_judge(length), PARTS)
+    return Stage(judged.groupBy("pack").agg(F.collect_list(F.struct("a", "b")).alias("verdicts")), "verdicts").read()
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """``(id_col, n_bytes, n_removed, n_spans, kept_sha256, kept)``, one row per input row; ``kept`` holds the bytes left.
 
@@ -352,11 +366,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packs = Stage(docs.mapInArrow(_pack, PACKS), "packs").read()
     total = packs.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = blocks_for(total, BUCKET_BYTES)
-    sent = packs.mapInArrow(_send_minimizers(length, seed, buckets), PARTS)
-    hits = sent.groupBy("bucket").applyInArrow(_find_repeated, PARTS).groupBy("pack").agg(F.collect_list(F.struct("bucket", "a")).alias("hits"))
-    segments = Stage(packs.join(hits, "pack").mapInArrow(_send_segments(length, seed, buckets), PARTS), "segments").read()
-    verdicts = segments.where("bucket >= 0").groupBy("bucket").applyInArrow(_judge(length), PARTS)
-    verdicts = Stage(verdicts.groupBy("pack").agg(F.collect_list(F.struct("a", "b")).alias("verdicts")), "verdicts").read()
+    segments = _repeated_segments(packs, length, seed, buckets)
+    forget_shuffles(docs.sparkSession)
+    verdicts = _verdicts(segments, length)
+    forget_shuffles(docs.sparkSession)
     runs = segments.where("bucket = -1").select("pack", F.col("a").alias("first"), F.col("b").alias("counts"), F.col("c").alias("source"))
     told = runs.join(verdicts, "pack", "left")
     cut = packs.join(told, "pack", "left").mapInArrow(_cut(length), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
