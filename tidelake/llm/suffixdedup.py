@@ -40,7 +40,7 @@ PARTS = "pack long, bucket long, a binary, b binary, c binary, d binary"
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, text) to packs sorted by id; a null id comes first, as -1 in ``sizes``' sign bit."""
     first = TaskContext.get().partitionId() << 40
-    press = zstandard.ZstdCompressor(level=1)
+    press = zstandard.ZstdCompressor(level=6)  # packs are written once and shuffled twice
     made = 0
     for batch in batches:
         ids = batch.column(0)
@@ -183,7 +183,7 @@ def _send_segments(length: int, seed: int, buckets: int):
     """Per pack: a row with bucket -1 that says where its repeated runs are, and rows of segments by bucket."""
 
     def of(row: dict) -> list[tuple]:
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=6)
         pack = _Pack(row["ids"], row["sizes"], row["data"])
         values, docs, first, last = pack.runs(length, seed)
         distinct, _ = _distinct(values, docs)
