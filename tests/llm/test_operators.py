@@ -133,6 +133,16 @@ def test_leaks(spark):
     assert decontam.flag(docs(spark, "x").limit(0), bench).count() == 0 and decontam.flag(docs(spark, "x"), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_edited_copies_beside_a_verbatim_one(spark):
+    item = prose(30, 37).split()
+    edited = [" ".join(f"e{i}x{k}" if k % 5 == 4 else w for k, w in enumerate(item)) for i in range(200)]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    stock = [" ".join(item[:4]) + " " + prose(1000 + i, 60) for i in range(20)]
+    out = {r["doc_id"]: r for r in decontam.flag(docs(spark, " ".join(item), *edited, *stock), bench).collect()}
+    assert all(out[i]["contaminated"] and out[i]["item_id"] == 7 and out[i]["score"] > 0.7 for i in range(201))
+    assert not any(out[i]["contaminated"] for i in range(201, 221))
+
+
 def test_packing(spark):
     texts = [prose(i, n) for i, n in enumerate((5, 100, 700, 9000, 40, 1500))] + [None, ""]
     rows = pack(docs(spark, *texts), group_pieces=4).collect()

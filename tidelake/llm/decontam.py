@@ -3,7 +3,8 @@
 One pass over the documents looks up every word n-gram in the benchmark's (a table whose size is bounded by
 ``slice_words``; a larger benchmark is taken slice by slice) and stages the few documents with a match. Document frequencies
 of the matched n-grams, over all documents, then tell which n-grams of an item are rare; those are its seeds.
-Each cluster of seed matches on neighbouring diagonals is one local alignment of the item with the text around it.
+Each cluster of seed matches on neighbouring diagonals is one local alignment of the item with the text around it. A cluster of
+other matches is aligned too if the text around it holds so many of the item's words that the score can reach the limit.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ COMMON, COMMONER = 100, 8
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 SLICE_WORDS = 1 << 20
+PAIRS = 1 << 13  # alignments at a time
 
 #: Bytes that separate words here: ASCII other than letters and digits, so that punctuation doesn't matter.
 SEPARATORS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -121,44 +123,67 @@ def _matches(shared) -> object:
     return run
 
 
-def _scores(shared, seeds) -> object:
+def _scores(shared, seeds, least: float) -> object:
+    """Aligns every cluster of seeds, and every cluster of other matches whose window holds enough of the item's words for ``least``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, seed = shared.value, seeds.value
+        starts, spread = index.first[:-1], np.diff(index.first)
+        names = np.array(index.ids, np.int64)
         for batch in batches:
-            ids, items, windows, places = [], [], [], []
+            rows, items, windows, places, rare = [], [], [], [], []
             at_all, found_all = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+
+            def aligned() -> pa.RecordBatch:
+                scores = align([index.words[j] for j in items], windows)
+                kept = np.array(rare, bool) | (scores >= least)
+                ids = batch.column(0).take(pa.array(np.array(rows, np.int64)[kept]))
+                out = [ids, pa.array(names[np.array(items, np.int64)[kept]]), pa.array(scores[kept]), pa.array(np.array(places, np.int64)[kept])]
+                for done in (rows, items, windows, places, rare):
+                    done.clear()
+                return pa.RecordBatch.from_arrays(out, ["id", "item_id", "score", "word"])
+
             for i, data, offsets in batches_of(pc.utf8_lower(batch.column(1))):
                 words, first, _, _ = scan(data, offsets, SEPARATORS)
                 for d in range(len(offsets) - 1):
                     text = words[first[d] : first[d + 1]]
-                    pairs = set()
-                    for p, k in zip(at_all[i + d], found_all[i + d], strict=True):
-                        for e in range(index.first[k], index.first[k + 1]):
-                            if seed[e]:
-                                pairs.add((int(index.item[e]), p - int(index.pos[e])))
-                    last: dict[int, int] = {}
-                    for item, diagonal in sorted(pairs):
-                        m = len(index.words[item])
-                        if item in last and diagonal - last[item] <= m // 4:
-                            continue  # the window around the cluster's first diagonal holds this one
-                        last[item] = diagonal
-                        slack = m // 2 + 1
-                        a, b = max(0, diagonal - slack), diagonal + m + slack
-                        ids.append(i + d)
-                        items.append(item)
-                        windows.append(text[a:b])
-                        places.append(max(0, diagonal))
-            scores = align([index.words[j] for j in items], windows) if ids else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(ids, pa.int64())), pa.array([index.ids[j] for j in items], pa.int64()), pa.array(scores, pa.float64()), pa.array(places, pa.int64())], ["id", "item_id", "score", "word"]
-            )
+                    at, found = np.array(at_all[i + d], np.int64), np.array(found_all[i + d], np.int64)
+                    many = spread[found]
+                    e = np.repeat(starts[found] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                    item, diagonal = index.item[e], np.repeat(at, many) - index.pos[e]
+                    centres: dict[int, list[int]] = {}
+                    for is_rare in (True, False):
+                        last: dict[int, int] = {}
+                        own = seed[e] if is_rare else ~seed[e]
+                        for j, x in sorted(set(zip(item[own].tolist(), diagonal[own].tolist(), strict=True))):
+                            m = len(index.words[j])
+                            if j in last and x - last[j] <= m // 4:
+                                continue  # the window around the cluster's first diagonal holds this one
+                            if not is_rare and any(abs(x - c) <= m // 4 for c in centres.get(j, ())):
+                                continue  # so does that of a cluster of seeds
+                            last[j] = x
+                            slack = m // 2 + 1
+                            window = text[max(0, x - slack) : x + m + slack]
+                            if is_rare:
+                                centres.setdefault(j, []).append(x)
+                            elif np.isin(index.words[j], window).sum() < least * m:
+                                continue  # a score is at most the share of the item's words that are here
+                            rows.append(i + d)
+                            items.append(j)
+                            windows.append(window)
+                            places.append(max(0, x))
+                            rare.append(is_rare)
+                    if len(rows) >= PAIRS:
+                        yield aligned()
+            if rows:
+                yield aligned()
 
     return run
 
 
 def _rare(item: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Which n-grams of the items are seeds: those in at most COMMON + COMMONER * d documents, d being the median over the item's
-    n-grams that occur at all. A passage that many documents hold keeps its seeds; a stock phrase in it has far more and goes."""
+    n-grams that occur at all. Documents that hold only others of an item's n-grams are judged by their words instead."""
     seed = np.zeros(len(item), bool)
     order = np.argsort(item, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
@@ -168,9 +193,10 @@ def _rare(item: np.ndarray, count: np.ndarray) -> np.ndarray:
     return seed
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = GRAM, slice_words: int = SLICE_WORDS) -> DataFrame:
-    """``(id_col, item_id, score, word)``: each pair of a document and a benchmark item that share a seed, with the best local
-    alignment's score (1: the whole item, in order) and the word about where it lies.
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = GRAM, slice_words: int = SLICE_WORDS, min_score: float = MIN_SCORE) -> DataFrame:
+    """``(id_col, item_id, score, word)``: each pair of a document and a benchmark item that share a seed, or that share any n-gram
+    and score at least ``min_score``, with the best local alignment's score (1: the whole item, in order) and the word about
+    where it lies.
 
     Words are runs of letters and digits, compared in lower case. Items shorter than ``n`` words are one n-gram. Null or
     blank texts and null ids match nothing; repeated ids are one document; other columns are ignored. Empty tables
@@ -193,7 +219,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             frequency[r["gram"]] = r["count"]
         count = np.repeat(frequency, np.diff(index.first))
         seed = _rare(index.item, count)
-        pairs = near.mapInArrow(_scores(shared, spark.sparkContext.broadcast(seed)), "id long, item_id long, score double, word long")
+        pairs = near.mapInArrow(_scores(shared, spark.sparkContext.broadcast(seed), min_score), "id long, item_id long, score double, word long")
         result = pairs if result is None else result.unionAll(pairs)
     if result is None:
         result = spark.createDataFrame([], "id long, item_id long, score double, word long")
@@ -204,7 +230,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def flag(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", min_score: float = MIN_SCORE, **options) -> DataFrame:
     """``(id_col, contaminated, n_items, item_id, score)``, one row per row of ``docs``: the number of items with a score of at
     least ``min_score``, and the best of all aligned items (ties to the smaller id; null and 0 without any)."""
-    pairs = contaminated(docs, benchmark, id_col, **options)
+    pairs = contaminated(docs, benchmark, id_col, min_score=min_score, **options)
     best = pairs.groupBy(id_col).agg(
         F.count(F.when(F.col("score") >= min_score, 1)).alias("n_items"), F.max(F.struct("score", (-F.col("item_id")).alias("minus"))).alias("top")
     )
