@@ -9,8 +9,9 @@ from test_history import T, row, table
 
 from tidelake.api import maintenance_slot
 from tidelake.model import COLUMNS, DAY_MS, HOT, HOUR_MS, SAMPLE
+from tidelake.queries import QUERIES
 from tidelake.sinks import compaction, retention, roll
-from tidelake.sources import pending, tree
+from tidelake.sources import adapters, pending, tree
 from tidelake.sources.files import Store
 from tidelake.sources.sqlite import SqliteSource
 from tidelake.sources.wire import parse_lines
@@ -182,3 +183,16 @@ def test_sqlite_store(spark, tmp_path):
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     frame = spark.read.format("tidelake_sqlite").option("path", path).option("partitions", 3).load()
     assert frame.columns == HOT.names and frame.where((F.col("ts") >= T + 10) & (F.col("path") == "a.b")).count() == 5
+
+
+def test_storage_over_the_whole_table(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    whole = adapters.samples(spark, sf_dir).select(*COLUMNS).cache()
+    keys = whole.select("context", "path").distinct().count()
+    for name in ("seam_union_whole", "compaction_invariant_whole"):
+        got = QUERIES[name](spark, sf_dir).cache()
+        assert got.count() == whole.count() and got.exceptAll(whole).isEmpty(), name
+    assert QUERIES["roll_days_whole"](spark, sf_dir).agg(F.sum("n")).first()[0] == whole.count()
+    assert QUERIES["sidecar_fold_whole"](spark, sf_dir).count() == keys == QUERIES["snapshot_tiers_whole"](spark, sf_dir).count()
+    left = adapters.samples(spark, sf_dir).where("rowid % 3 <> 0").select(*COLUMNS)
+    assert QUERIES["except_all_missing_whole"](spark, sf_dir).count() == whole.count() - left.count()

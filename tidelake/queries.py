@@ -513,6 +513,56 @@ def except_all_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.missing_rows(rows.where("rowid % 3 <> 0"), rows)
 
 
+# The same operators over the whole table; the ones above keep the rows of their registered SQL.
+
+_EVER = 2**62
+
+
+def _whole_days(spark: SparkSession, store: Store) -> DataFrame:
+    return tree.rows_between(spark, store, -_EVER, _EVER).select(*COLUMNS)
+
+
+@registered("seam_union_whole", query(f"SELECT {ALL} FROM sample"))
+def seam_union_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_days(spark, _store_with_tiers(spark, sf_dir, adapters.samples(spark, sf_dir)))
+
+
+@registered("compaction_invariant_whole", query(f"SELECT {ALL} FROM sample"))
+def compaction_invariant_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store_with_tiers(spark, sf_dir, adapters.samples(spark, sf_dir))
+    roll.roll_once(spark, store, T0 + 1_200_000)
+    compaction.compact_hour(spark, store, T0, T0 + 2 * HOUR_MS)
+    return _whole_days(spark, store)
+
+
+@registered("roll_days_whole", query("SELECT CAST(make_timestamp(ts * 1000) AS DATE) AS date, count(*) AS n FROM sample GROUP BY 1"))
+def roll_days_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = scratch_store(spark)
+    roll.append_batch(store, adapters.samples(spark, sf_dir), 0)
+    roll.roll(spark, store, T0, _EVER)
+    return tree.read_tree(spark, store).groupBy(day_of(F.col("ts")).alias("date")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered("sidecar_fold_whole", query(f"SELECT {ALL} FROM newest", _newest("true")))
+def sidecar_fold_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, rows = scratch_store(spark), adapters.samples(spark, sf_dir)
+    roll.fold_latest(spark, store, rows.where(F.col("ts") < AT))
+    roll.fold_latest(spark, store, rows.where(F.col("ts") >= AT))
+    return tree.read_latest(spark, store).select(*COLUMNS)
+
+
+# arrival is the batch, then the row within it
+@registered("snapshot_tiers_whole", query(f"SELECT {ALL} FROM newest", _newest("true").replace("rowid DESC)", "rowid % 4 DESC, rowid DESC)")))
+def snapshot_tiers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.snapshot_at(spark, _store_with_tiers(spark, sf_dir, adapters.samples(spark, sf_dir)), _EVER)
+
+
+@registered("except_all_missing_whole", query(f"SELECT {ALL} FROM sample EXCEPT ALL SELECT {ALL} FROM sample WHERE rowid % 3 <> 0"))
+def except_all_missing_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapters.samples(spark, sf_dir)
+    return compaction.missing_rows(rows.where("rowid % 3 <> 0"), rows)
+
+
 # --- ingest --------------------------------------------------------------------------------------------------------------
 
 BUS = """bus AS (SELECT event_id AS seq, event_id % 7 AS shape, user_id, event_type, value, CAST(floor(value) AS BIGINT) AS whole, event_id,
