@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from tidelake.api import Engine, History, PathSpec, delta_dict, ema_line, over_store, over_table, sma_line, write_ndjson
 from tidelake.functions.instants import iso_text, parse_iso
-from tidelake.model import DAY_MS, HOT, SAMPLE
+from tidelake.model import DAY_MS, HOT, RAW_SERIES_LIMIT, SAMPLE
 from tidelake.operators import scan, smoothing, snapshot, timeline
 from tidelake.plans.requests import Refused, Request
+from tidelake.queries import QUERIES, START
 from tidelake.sources import tree
 
 T = parse_iso("2026-08-23T00:00:00Z")
@@ -175,3 +176,13 @@ def test_engine_over_missing_store(spark, tmp_path):
     engine = Engine(over_store(spark, store), lambda at, context, paths: tree.snapshot_at(spark, store, at, context, paths))
     assert engine.read(Request("exists", 0, 10))[0][0]["count"] == 0 and engine.read(Request("snapshot", at=5))[0] == []
     assert F is not None
+
+
+def test_raw_smoothing_reads_the_whole_series(spark, tmp_path):
+    n = RAW_SERIES_LIMIT + 10
+    events = spark.range(n).selectExpr("id as event_id", f"timestamp_millis({START} + id * 10) as ts", "10L as user_id", "'error' as event_type", "cast(id as double) as value", "'{\"k\": 1}' as props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("sma_raw", "sma_wide", "ema_raw"):
+        assert QUERIES[name](spark, str(tmp_path)).count() == n, name
+    middle = QUERIES["middle_index"](spark, str(tmp_path))
+    assert middle.count() == n and middle.where("v is not null").first()["v"] == n // 2

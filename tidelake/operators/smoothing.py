@@ -29,7 +29,7 @@ def sma_running(series: DataFrame, window: int) -> DataFrame:
 def ema(series: DataFrame, alpha: float) -> DataFrame:
     """WIN-4: alpha * v + (1 - alpha) * previous, seeded by the first value; null repeats the previous one.
 
-    A recursion over one series; the bucket budget and the raw limit bound a series at a million points, so it fits a task."""
+    A recursion over one series, which must fit a task: the bucket budget bounds it, but a raw series read without limit does not."""
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("bucket")

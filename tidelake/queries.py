@@ -254,7 +254,7 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _raw_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(own(spark, sf_dir, "events.error"), [ValueSpec("events.error")]).select("spec", "bucket", F.col("num").alias("v"))
+    return values(own(spark, sf_dir, "events.error"), [ValueSpec("events.error")], limit=2**31 - 1).select("spec", "bucket", F.col("num").alias("v"))
 
 
 def _out(series: DataFrame) -> DataFrame:
