@@ -233,6 +233,16 @@ def test_personal_data(spark):
     assert personal_data(docs(spark, "x").limit(0)).count() == 0
 
 
+def test_personal_data_of_a_second_hop(spark):
+    seeds = [f"call +1 555 {200 + i} 0{100 + i}" for i in range(60)]
+    shared = [f"{left} 555-{300 + i}-0{100 + i}" for i in range(10) for left in ("call", "mobile")]
+    texts = [*seeds, *shared, "mobile 555-999-0199", "parcel 555-999-0198", "parcel 555-999-0197", "parcel 555-999-0196"]
+    spans = {r["doc_id"]: r["spans"] for r in personal_data(docs(spark, *texts)).collect()}
+    assert all(spans[60 + i] for i in range(20))
+    assert spans[80] == "phone:7:19"  # only "mobile" precedes it, and no fixed pattern follows "mobile"
+    assert not any(spans[i] for i in (81, 82, 83))
+
+
 def test_token_files(spark, tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")

@@ -2,8 +2,9 @@
 
 The fixed patterns give seed instances. The word before an instance is its context pattern; contexts and instance values form
 a bipartite graph with looser candidate spans. Rounds of two aggregations score it: a context by the share of its
-instances that are believed, over all documents; a value by the contexts it occurs in. Candidates in
-contexts of high confidence and enough distinct seeds are added to the spans.
+instances that are believed, over all documents; a value by the contexts it occurs in. Values that a round comes to believe count
+as seeds in the next, so they induce contexts in turn. Candidates in contexts of high confidence and enough distinct seeds are
+added to the spans.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def _contexts(found: DataFrame, rounds: int, min_confidence: float, min_seeds: i
     graph = Stage(edges("base", 1).unionAll(edges("loose", 0)), "pii-graph").read()
     scored = graph.withColumn("belief", F.col("seed").cast("double"))
     for k in range(rounds):
-        patterns = scored.groupBy("kind", "left").agg((F.sum("belief") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.sum("seed").alias("seeds"))
+        patterns = scored.groupBy("kind", "left").agg((F.sum("belief") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.count(F.when(F.col("belief") >= min_confidence, 1)).alias("seeds"))
         if k == rounds - 1:
             break
         patterns = patterns.withColumn("trust", F.when(F.col("seeds") >= min_seeds, F.col("confidence")).otherwise(0.0))
