@@ -177,6 +177,14 @@ def test_language(spark):
     assert langid.identify(table.limit(0), model).count() == 0
 
 
+def test_many_languages(spark):
+    names = [f"l{k:03d}" for k in range(70)]
+    table = docs(spark, *[" ".join([prose(5000 + k, 12)] * 4) for k in range(70)], langs=names)
+    model = langid.fit(table, F.lit(True))
+    assert model.languages == names
+    assert {r["lang"]: r["lang_pred"] for r in langid.identify(table, model).collect()} == {x: x for x in names}
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(0)
     texts, labels = [], []

@@ -1,6 +1,6 @@
 """Language identification by language-bitmask n-gram filters.
 
-Every slot of a Bloom filter holds a bitmask with one bit per language. An n-gram's masks at its hash positions, ANDed,
+Every slot of a Bloom filter holds a bitmask with one bit per language, in as many words as the languages need. An n-gram's masks at its hash positions, ANDed,
 give all languages that contain it. A text's hits per language, less the false positives that the filter's fill for
 that language predicts, decide.
 """
@@ -21,7 +21,7 @@ from tidelake.llm.words import batches_of
 GRAM = 4  # bytes of lower-cased UTF-8, everything but letters one blank
 SAMPLE_DOCS = 2000  # training documents a language, about
 TOP_GRAMS = 20_000  # n-grams kept a language
-MAX_LANGUAGES = 63
+WORD_LANGUAGES = 63  # languages a mask word
 SLOTS, PROBES = 1 << 18, 2
 
 _BYTES = np.full(256, 32, np.uint8)
@@ -61,27 +61,32 @@ class BitmaskFilter:
 
     def __init__(self, languages: list[str], grams: dict[str, np.ndarray]):
         self.languages = languages
-        self.slots = np.zeros(SLOTS, np.uint64)
+        self.slots = np.zeros((max(1, -(-len(languages) // WORD_LANGUAGES)), SLOTS), np.uint64)
+        self.false_rate = []
         for k, lang in enumerate(languages):
+            word, bit = divmod(k, WORD_LANGUAGES)
             for at in _probes(grams.get(lang, np.zeros(0, np.int64))):
-                self.slots[at] |= np.uint64(1 << k)
-        self.false_rate = [float(np.mean((self.slots >> np.uint64(k)) & np.uint64(1))) ** PROBES for k in range(len(languages))]
+                self.slots[word, at] |= np.uint64(1 << bit)
+            self.false_rate.append(float(np.mean((self.slots[word] >> np.uint64(bit)) & np.uint64(1))) ** PROBES)
 
-    def languages_of(self, grams: np.ndarray) -> np.ndarray:
-        masks = None
+    def languages_of(self, grams: np.ndarray, word: int = 0) -> np.ndarray:
+        """The masks of one word: languages 63 * ``word`` and on."""
+        slots, masks = self.slots[word], None
         for at in _probes(grams):
-            masks = self.slots[at] if masks is None else masks & self.slots[at]
+            masks = slots[at] if masks is None else masks & slots[at]
         return masks
 
     def judge(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Index of the language and its share of the corrected hits, per text."""
         best, score = np.zeros(len(column), np.int64), np.zeros(len(column))
         for i, grams, ends in _grams(column):
-            masks = self.languages_of(grams)
             total = np.diff(ends)
             hits = np.empty((len(self.languages), len(total)))
             for k, fp in enumerate(self.false_rate):
-                seen = np.concatenate([[0], np.cumsum((masks >> np.uint64(k)) & np.uint64(1), dtype=np.int64)])
+                word, bit = divmod(k, WORD_LANGUAGES)
+                if not bit:
+                    masks = self.languages_of(grams, word)
+                seen = np.concatenate([[0], np.cumsum((masks >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
                 hits[k] = np.maximum((seen[ends[1:]] - seen[ends[:-1]] - fp * total) / max(1e-9, 1 - fp), 0)
             j = hits.argmax(0)
             best[i : i + len(j)] = j
@@ -92,11 +97,10 @@ class BitmaskFilter:
 def fit(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, top_grams: int = TOP_GRAMS) -> BitmaskFilter:
     """The filter from the rows where ``training`` holds and text and language are there.
 
-    Learns the 63 most frequent languages (ties by name), from about ``sample_docs`` whole documents of each, chosen by a
-    hash of the text. A language contains an n-gram if the n-gram is one of its ``top_grams`` most frequent, occurs three
+    Learns every language, from about ``sample_docs`` whole documents of each, chosen by a hash of the text. A language contains an n-gram if the n-gram is one of its ``top_grams`` most frequent, occurs three
     times or more, and at least a quarter as often as in the language where it is most frequent."""
     rows = docs.where(training & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return BitmaskFilter([], {})
@@ -104,16 +108,16 @@ def fit(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str
     chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < 1_000_000 * F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
     counts = chosen.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n >= 3")
     table = counts.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "gram")), asc=False), 1, top_grams).alias("top")).toArrow()
-    tops = {}
-    for lang, top in zip(table["lang"].to_pylist(), table["top"].to_pylist(), strict=True):
-        tops[lang] = (np.array([x["gram"] for x in top], np.int64), np.array([x["n"] for x in top], float))
-    most: dict[int, float] = {}
-    rates = {}
-    for lang, (grams, n) in tops.items():
-        rates[lang] = n / n.sum()
-        for g, r in zip(grams.tolist(), rates[lang].tolist(), strict=True):
-            most[g] = max(most.get(g, 0), r)
-    return BitmaskFilter(languages, {lang: grams[rates[lang] >= 0.25 * np.array([most[g] for g in grams.tolist()])] for lang, (grams, _) in tops.items()})
+    top = table["top"].combine_chunks()  # at most top_grams rows a language
+    flat = top.flatten()
+    grams, n = flat.field("gram").to_numpy(), flat.field("n").to_numpy().astype(float)
+    of = np.repeat(np.arange(len(top)), top.value_lengths().to_numpy())
+    rate = n / np.bincount(of, n, len(top))[of]
+    _, place = np.unique(grams, return_inverse=True)
+    most = np.zeros(len(grams))
+    np.maximum.at(most, place, rate)
+    own = rate >= 0.25 * most[place]
+    return BitmaskFilter(languages, {lang: grams[own & (of == k)] for k, lang in enumerate(table["lang"].to_pylist())})
 
 
 def identify(docs: DataFrame, model: BitmaskFilter, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
