@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidelake.api import Engine, History, PathSpec, delta_dict, ema_line, over_store, over_table, sma_line, write_ndjson
+from tidelake.api import Engine, History, PathSpec, delta_dict, over_store, over_table, write_ndjson
 from tidelake.functions.instants import iso_text, parse_iso
 from tidelake.model import DAY_MS, HOT, RAW_SERIES_LIMIT, SAMPLE
 from tidelake.operators import scan, smoothing, snapshot, timeline
@@ -135,7 +135,32 @@ def test_numbers_beat_text_in_a_delta(spark):
     assert delta_dict(delta)["updates"][0]["values"] == [{"path": "a", "value": {"k": 4.0}}, {"path": "b", "value": True}]
 
 
-def test_frames_agree_with_collected_smoothing(spark):
+def sma_line(line, window):
+    there = [[v for v in line[: k + 1] if v is not None][-window:] for k in range(len(line))]
+    return [None if v is None else sum(w) / len(w) for v, w in zip(line, there, strict=True)]
+
+
+def ema_line(line, alpha):
+    out = []
+    for v in line:
+        before = out[-1] if out else None
+        out.append(before if v is None else v if before is None else alpha * v + (1 - alpha) * before)
+    return out
+
+
+def test_one_value_a_stamp_within_each_series(spark):
+    rows = [row(1000, value=1, source="a"), row(1000, value=3, source="b"), row(2000, value=5, source="a")]
+    assert ask(spark, rows, ("a.b", "average", None, "a"), resolution=None)[0] == [[1000, 1.0], [2000, 5.0]]
+    assert ask(spark, rows, "a.b", resolution=None)[0] == [[1000, 3.0], [2000, 5.0]]
+    assert ask(spark, rows, "a.b", resolution=None, source_policy="all")[0] == [[1000, 1.0, 3.0], [2000, 5.0, None]]
+    assert ask(spark, rows, "a.b", ("a.b", "middle_index"))[0] == [[0, 3.0, None], [1000, None, None], [2000, None, 5.0]]
+    history = History(Engine(over_table(table(spark, *rows))))
+    assert history.values_frame([PathSpec("a.b")], T, T + 60_000, resolution=10).first()["v0"] == 3.0
+    mixed = [row(1000, value=1), row(1000, value="x"), row(2000, value="y")]
+    assert ask(spark, mixed, "a.b", resolution=None)[0] == [[1000, 1.0]]
+
+
+def test_frames_agree_with_plain_smoothing(spark):
     line = [1.0, None, 3.0, None, None, 8.0, 2.0, 5.0]
     series = spark.createDataFrame([(0, k, v) for k, v in enumerate(line)], "spec int, bucket long, v double")
 

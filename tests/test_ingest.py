@@ -1,6 +1,7 @@
 """Routing, flattening, filters, caps, throttling, names; streams; replay; statistics; decoding."""
 
 import json
+import os
 import math
 
 import pytest
@@ -86,6 +87,7 @@ def test_stateful_throttle(spark, tmp_path):
     source.mkdir()
     for n, times in enumerate(([0, 1999, 2000], [3999, 4000, 100])):
         (source / f"{n}.json").write_text("\n".join(json.dumps({"path": "a", "context": "c", "recv_ts": t, "seq": 10 * n + k, "rate": 2000.0}) for k, t in enumerate(times)))
+        os.utime(source / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))  # files come in the order of their times
     schema = "path string, context string, recv_ts long, seq long, rate double"
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
     query = stream.throttle_stream(rows, schema).writeStream.format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()

@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.functions.instants import iso_text
-from tidelake.model import COLUMNS, RAW_SERIES_LIMIT, ROW_LIMIT, SELF_CONTEXT
+from tidelake.model import CELL_COLUMNS, COLUMNS, RAW_SERIES_LIMIT, ROW_LIMIT, SELF_CONTEXT
 from tidelake.operators import scan, smoothing, snapshot, timeline
-from tidelake.operators.values import by_source, last_per_stamp, numbers_win, ordered, values
+from tidelake.operators.values import by_source, numbers_win, one_per_stamp, ordered, values
 from tidelake.plans import requests
 from tidelake.plans.requests import ANY, Refused, Request, ValueSpec
 from tidelake.plans.timerange import ema_alpha, resolution_seconds, sma_window
@@ -62,8 +62,7 @@ class Engine:
         if r.kind == "range":
             return scan.raw_range(rows, start, end, limit, r.context, r.paths).select(*COLUMNS)
         if r.kind == "values":
-            inside = scan.select(rows, start, end, r.context, [s.path for s in r.specs], fields=True)
-            return ordered(values(last_per_stamp(inside) if r.bucket_ms is None or any(s.aggregate == "raw" for s in r.specs) else inside, r.specs, r.bucket_ms, min(limit, RAW_SERIES_LIMIT)))
+            return ordered(self.series(r)).drop("_n")
         inside = scan.select(rows, start, end, r.context, r.paths, fields=r.kind == "sources")
         if r.kind == "exists":
             return scan.exists(inside)
@@ -71,6 +70,13 @@ class Engine:
             return scan.list_sources(inside)
         return scan.list_names(inside, "path" if r.kind == "paths" else "context")
 
+    def series(self, request: Request) -> DataFrame:
+        """The rows of a values request in any order, with their places in raw series (``_n``)."""
+        r = requests.validate(request)
+        start, end = int(r.start), int(r.end)
+        inside = scan.select(self.rows_between(start, end), start, end, r.context, [s.path for s in r.specs], fields=True)
+        return values(inside, r.specs, r.bucket_ms, min(requests.clamp_limit(r.limit), RAW_SERIES_LIMIT), placed=True)
+
     def read(self, request: Request) -> tuple[list[Row], bool]:
         """Rows, and whether there were more than the limit."""
         limit = requests.clamp_limit(request.limit)
@@ -89,35 +95,84 @@ class History:
 
     def get_values(self, specs: Sequence[PathSpec], start: int, end: int, context: str | None = None, resolution: float | None = None, source_policy: str | None = None) -> dict:
         """{context, range, values, data}: one row [time, v0, v1, ...] per time of the shared timeline."""
+        columns, width = self._columns(specs, start, end, context, resolution, source_policy)
+        shown = [{"path": c.path, "method": c.aggregate} | ({"$source": c.source} if c.source not in (ANY, None) else {}) for c in columns]
+        answer = {"context": context or self.self_context, "range": {"from": iso_text(start), "to": iso_text(end)}, "values": shown, "data": []}
+        if not columns:
+            return answer
+        found = self._found(columns, start, end, context, width).persist()  # read twice; too many rows are refused after the first
+        try:
+            self._check(found, columns, width)
+            rows = self._matrix(found, columns, width).orderBy("bucket").collect()
+        finally:
+            found.unpersist()
+        return answer | {"data": [[iso_text(r[0]), *(None if cell is None else decode(cell) for cell in r[1:])] for r in rows]}
+
+    def values_frame(self, specs: Sequence[PathSpec], start: int, end: int, context: str | None = None, resolution: float | None = None, source_policy: str | None = None) -> DataFrame:
+        """The numbers of the same answer as a DataFrame (bucket, v0, v1, ...), for answers too large to collect: neither the number of rows
+        nor the aggregates of text and objects are checked. The series' rows, which the limits of the model bound, are cached."""
+        columns, width = self._columns(specs, start, end, context, resolution, source_policy)
+        wide = self._matrix(self._found(columns, start, end, context, width).persist(), columns, width)
+        return wide.select("bucket", *[F.col(f"v{k}.num").alias(f"v{k}") for k in range(len(columns))]).orderBy("bucket")
+
+    def _columns(self, specs: Sequence[PathSpec], start: int, end: int, context: str | None, resolution: float | None, source_policy: str | None) -> tuple[list[PathSpec], int | None]:
+        """The columns of an answer, one a source if the policy says so, and the bucket's width."""
         for spec in specs:
             requests.check_aggregate(spec.aggregate)
         seconds = resolution_seconds(resolution)
         width = None if seconds is None else seconds * 1000
-        plain = [ValueSpec(s.path, s.aggregate, s.source) for s in specs]
-        requests.refuse_positions(plain, width is not None)
-        bucketed = sum(s.aggregate != "middle_index" for s in specs) if width else 0
-        requests.guard_buckets(bucketed, seconds, end - start)
-        stored = self._stored(context)
+        requests.refuse_positions([ValueSpec(s.path, s.aggregate, s.source) for s in specs], width is not None)
         columns = list(specs)
-        if source_policy == "all":
-            columns = self._by_source(columns, start, end, stored)
+        for split in (False, True) if source_policy == "all" else (False,):
+            columns = self._by_source(columns, start, end, self._stored(context)) if split else columns
             requests.guard_buckets(sum(s.aggregate != "middle_index" for s in columns) if width else 0, seconds, end - start)
-        shown = [{"path": c.path, "method": c.aggregate} | ({"$source": c.source} if c.source not in (ANY, None) else {}) for c in columns]
-        answer = {"context": context or self.self_context, "range": {"from": iso_text(start), "to": iso_text(end)}, "values": shown, "data": []}
-        if not columns:
-            return answer
-        wanted = [ValueSpec(c.path, requests.engine_aggregate(c.aggregate), c.source) for c in columns]
-        request = Request("values", start, end, context=stored, specs=tuple(wanted), bucket_ms=width, limit=ROW_LIMIT)
-        rows, cut = self.engine.read(request)
-        if cut:
+        return columns, width
+
+    def _found(self, columns: Sequence[PathSpec], start: int, end: int, context: str | None, width: int | None) -> DataFrame:
+        wanted = tuple(ValueSpec(c.path, requests.engine_aggregate(c.aggregate), c.source) for c in columns)
+        return self.engine.series(Request("values", start, end, context=self._stored(context), specs=wanted, bucket_ms=width, limit=ROW_LIMIT))
+
+    @staticmethod
+    def _check(found: DataFrame, columns: Sequence[PathSpec], width: int | None) -> None:
+        """VAL-4, VAL-6: what only the rows can tell."""
+        facts = found.groupBy("spec").agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in ("num", "str", "obj")]).collect()  # a row a column
+        if sum(r["n"] for r in facts) > ROW_LIMIT:
             raise Refused("the answer is too long: ask for a shorter range or a coarser resolution")
-        series = self._series(columns, rows, width)
-        return answer | {"data": self._timeline(series, columns, width)}
+        for r in sorted(facts, key=lambda r: (not r["obj"], r["spec"])):
+            column = columns[r["spec"]]
+            if not requests.applies_to_value(column.aggregate, width is not None):
+                if r["obj"]:
+                    raise requests.refusal(column.aggregate, "object", column.path)
+                if r["str"] and not r["num"]:
+                    raise requests.refusal(column.aggregate, "text", column.path)
+
+    @staticmethod
+    def _matrix(found: DataFrame, columns: Sequence[PathSpec], width: int | None) -> DataFrame:
+        """(bucket, v0, v1, ...) with cells of ``CELL_COLUMNS``: numbers win, one value a time, then the aggregates over whole series."""
+        series = one_per_stamp(numbers_win(found)) if width is None or any(c.aggregate == "middle_index" for c in columns) else numbers_win(found).select("spec", "bucket", F.struct(*CELL_COLUMNS).alias("v"))
+        groups: dict[tuple, list[int]] = {}
+        for k, c in enumerate(columns):
+            how = ("sma", sma_window(c.parameter)) if c.aggregate == "sma" else ("ema", ema_alpha(c.parameter)) if c.aggregate == "ema" else (c.aggregate,) if c.aggregate == "middle_index" else ()
+            groups.setdefault(how, []).append(k)
+        parts = []
+        for how, own in groups.items():
+            part = series.where(F.col("spec").isin(own))
+            if how and how[0] == "middle_index":
+                part = smoothing.middle_index(part)
+            elif how:
+                line = part.select("spec", "bucket", F.col("v.num").alias("v"))
+                line = line if width is None else timeline.fill(line, width)
+                smooth = smoothing.sma(line, how[1]) if how[0] == "sma" else smoothing.ema(line, how[1])
+                empty = [F.lit(None).cast(series.schema["v"].dataType[c].dataType).alias(c) for c in CELL_COLUMNS[1:]]
+                part = smooth.select("spec", "bucket", F.when(F.col("v").isNotNull(), F.struct(F.col("v").alias("num"), *empty)).alias("v"))
+            parts.append(part.select("spec", "bucket", "v"))
+        union = parts[0]
+        for part in parts[1:]:
+            union = union.unionAll(part)
+        return timeline.matrix(union, len(columns), width, [k for k, c in enumerate(columns) if c.aggregate != "middle_index"])
 
     def _by_source(self, columns: Sequence[PathSpec], start: int, end: int, context: str) -> list[PathSpec]:
-        rows, cut = self.engine.read(Request("sources", start, end, context=context, paths=tuple(dict.fromkeys(c.path for c in columns))))
-        if cut:
-            raise Refused("too many sources")
+        rows = self._names("sources", start, end, context, tuple(dict.fromkeys(c.path for c in columns)))
         pairs = [(r["name"], r["source"]) for r in rows]
         out = []
         for c in columns:
@@ -125,79 +180,30 @@ class History:
                 out.append(PathSpec(c.path, c.aggregate, c.parameter, s.source))
         return out
 
-    def _series(self, columns: Sequence[PathSpec], rows: list[Row], width: int | None) -> list[dict[int, object]]:
-        """Values by time of each column, after the checks that need the data (VAL-4, VAL-7) and the client-side aggregates."""
-        out: list[dict[int, object]] = []
-        for k, column in enumerate(columns):
-            own = [r for r in rows if r["spec"] == k]
-            fits = requests.applies_to_value(column.aggregate, width is not None)
-            if any(r["obj"] is not None for r in own) and not fits:
-                raise requests.refusal(column.aggregate, "object", column.path)
-            numeric = any(r["num"] is not None for r in own)
-            if numeric:
-                own = [r for r in own if r["num"] is not None or r["str"] is None]
-            elif any(r["str"] is not None for r in own) and not fits:
-                raise requests.refusal(column.aggregate, "text", column.path)
-            out.append(self._smooth(column, {r["bucket"]: decode(r) for r in own}, width))
-        return out
-
-    @staticmethod
-    def _smooth(column: PathSpec, series: dict[int, object], width: int | None) -> dict[int, object]:
-        times = sorted(series)
-        if not times or column.aggregate not in ("sma", "ema", "middle_index"):
-            return series
-        if column.aggregate == "middle_index":
-            return {t: series[t] if k == len(times) // 2 else None for k, t in enumerate(times)}
-        if width:
-            times = list(range(times[0], times[-1] + 1, width))
-        line = [series.get(t) for t in times]
-        smooth = sma_line(line, sma_window(column.parameter)) if column.aggregate == "sma" else ema_line(line, ema_alpha(column.parameter))
-        return dict(zip(times, smooth, strict=True))
-
-    @staticmethod
-    def _timeline(series: list[dict[int, object]], columns: Sequence[PathSpec], width: int | None) -> list[list]:
-        stamps = set().union(*series) if series else set()
-        grid = [t for s, c in zip(series, columns, strict=True) if c.aggregate != "middle_index" for t in s]
-        if width and grid:
-            stamps |= set(range(min(grid), max(grid) + 1, width))
-        return [[iso_text(t), *(s.get(t) for s in series)] for t in sorted(stamps)]
-
-    def values_frame(self, specs: Sequence[PathSpec], start: int, end: int, context: str | None = None, resolution: float | None = None) -> DataFrame:
-        """The numeric answer as a DataFrame (bucket, v0, v1, ...), for answers too large to collect."""
-        seconds = resolution_seconds(resolution)
-        width = None if seconds is None else seconds * 1000
-        wanted = [ValueSpec(s.path, requests.engine_aggregate(s.aggregate), s.source) for s in specs]
-        rows = self.engine.rows_between(start, end)
-        inside = scan.select(rows, start, end, self._stored(context), [s.path for s in specs], fields=True)
-        found = numbers_win(values(last_per_stamp(inside), wanted, width, RAW_SERIES_LIMIT)).select("spec", "bucket", F.col("num").alias("v"))
-        parts = []
-        for k, spec in enumerate(specs):
-            one = found.where(F.col("spec") == k)
-            if spec.aggregate == "middle_index":
-                one = smoothing.middle_index(one)
-            elif spec.aggregate in ("sma", "ema"):
-                one = one if width is None else timeline.fill(one, width)
-                one = smoothing.sma(one, sma_window(spec.parameter)) if spec.aggregate == "sma" else smoothing.ema(one, ema_alpha(spec.parameter))
-            parts.append(one.select("spec", "bucket", "v"))
-        union = parts[0]
-        for part in parts[1:]:
-            union = union.unionAll(part)
-        return timeline.matrix(union, len(specs), width, [k for k, s in enumerate(specs) if s.aggregate != "middle_index"]).orderBy("bucket")
+    def _names(self, kind: str, start: int, end: int, context: str | None = None, paths: tuple[str, ...] | None = None) -> list[Row]:
+        rows, cut = self.engine.read(Request(kind, start, end, context=context, paths=paths))
+        if cut:
+            raise Refused(f"more than {ROW_LIMIT} {kind}: ask for a shorter range")
+        return rows
 
     def get_paths(self, start: int, end: int, context: str | None = None) -> list[str]:
-        return [r["name"] for r in self.engine.read(Request("paths", start, end, context=context and self._stored(context)))[0]]
+        return [r["name"] for r in self._names("paths", start, end, context and self._stored(context))]
 
     def get_contexts(self, start: int, end: int) -> list[str]:
         """PRJ-10: the own entity by its public name."""
-        return [self.self_context if r["name"] == SELF_CONTEXT else r["name"] for r in self.engine.read(Request("contexts", start, end))[0]]
+        return [self.self_context if r["name"] == SELF_CONTEXT else r["name"] for r in self._names("contexts", start, end)]
 
     def has_any_data(self, start: int, end: int) -> bool:
         return self.engine.read(Request("exists", start, end))[0][0]["count"] > 0
 
     def get_history(self, at: int, context: str | None = None, paths: Sequence[str] | None = None) -> list[dict]:
         """State at an instant as deltas: objects restamped with their newest field, then grouped."""
-        rows = self.engine.frame(Request("snapshot", at=at, context=context and self._stored(context), paths=tuple(paths) if paths else None))
+        rows = self.engine.frame(Request("snapshot", at=at, context=context and self._stored(context), paths=tuple(paths) if paths else None)).persist()
+        if rows.count() > ROW_LIMIT:
+            rows.unpersist()
+            raise Refused(f"more than {ROW_LIMIT} values: name a context or paths")
         found = snapshot.deltas(snapshot.restamped(rows)).orderBy("ts", F.col("source").asc_nulls_first(), "context").collect()
+        rows.unpersist()
         return [delta_dict(r) for r in found]
 
     def stream_history(self, start: int, now: Callable[[], int] | None = None, rate: float = 1.0, end: int | None = None, sleep: Callable[[float], None] = time.sleep) -> Iterator[dict]:
@@ -241,33 +247,6 @@ def delta_dict(row: Row) -> dict:
     return {"context": row["context"], "updates": [update]}
 
 
-def sma_line(line: Sequence[float | None], window: int) -> list[float | None]:
-    """WIN-3 over one collected series, in linear time."""
-    kept: list[float] = []
-    out: list[float | None] = []
-    total = 0.0
-    for v in line:
-        if v is None:
-            out.append(None)
-            continue
-        kept.append(v)
-        total += v
-        if len(kept) > window:
-            total -= kept[-window - 1]
-        out.append(total / min(len(kept), window))
-    return out
-
-
-def ema_line(line: Sequence[float | None], alpha: float) -> list[float | None]:
-    """WIN-4 over one collected series."""
-    out: list[float | None] = []
-    last = None
-    for v in line:
-        last = last if v is None else v if last is None else alpha * v + (1 - alpha) * last
-        out.append(last)
-    return out
-
-
 def write_ndjson(rows: DataFrame, out, batch: int = 1000) -> int:
     """SNK-11: rows as JSON lines, a summary last; streams partition by partition."""
     n, lines = 0, []

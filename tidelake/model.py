@@ -41,6 +41,7 @@ SAMPLE = T.StructType(
 HOT = T.StructType([*SAMPLE.fields, T.StructField("rowid", T.LongType(), False)])
 COLUMNS = [f.name for f in SAMPLE.fields]
 VALUE_COLUMNS = ["spec", "bucket", "num", "str", "kind", "lat", "lon", "obj"]
+CELL_COLUMNS = VALUE_COLUMNS[2:]
 FIELD = "struct<key:string,num:double,str:string,kind:string>"
 OBJECT = f"array<{FIELD}>"
 

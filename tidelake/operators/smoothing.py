@@ -43,4 +43,5 @@ def middle_index(series: DataFrame) -> DataFrame:
     """WIN-5: only the value at position floor(n / 2) stays; the other stamps stay as nulls."""
     part = Window.partitionBy("spec")
     place = F.row_number().over(part.orderBy("bucket")) - 1
-    return series.withColumn("_k", place).withColumn("v", F.when(F.col("_k") == F.floor(F.count(F.lit(1)).over(part) / 2), F.col("v"))).drop("_k")
+    middles = series.groupBy("spec").agg(F.floor(F.count(F.lit(1)) / 2).alias("_m"))  # at most MAX_SPECS rows
+    return series.withColumn("_k", place).join(F.broadcast(middles), "spec").withColumn("v", F.when(F.col("_k") == F.col("_m"), F.col("v"))).select(*series.columns)

@@ -27,7 +27,7 @@ def drift(first: Column, second: Column) -> Column:
 
 def steady(first: Column, second: Column, floor: Column, tolerance: float = 0.1) -> Column:
     """BEN-3: both halves are below the noise floor, or the drift is within the tolerance."""
-    return ((F.abs(first) < floor) & (F.abs(second) < floor)) | (drift(first, second) <= tolerance)
+    return ((first < floor) & (second < floor)) | (drift(first, second) <= tolerance)
 
 
 def halves(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidelake.functions import pointer
 from tidelake.functions.instants import bucket
-from tidelake.model import FIELD, OBJECT, RAW_SERIES_LIMIT, VALUE_COLUMNS, with_rowid
+from tidelake.model import CELL_COLUMNS, FIELD, OBJECT, RAW_SERIES_LIMIT, VALUE_COLUMNS, with_rowid
 from tidelake.plans.requests import ANY, ValueSpec
 
 _SPECS = "spec int, key string, aggregate string, any_source boolean, wanted string"
@@ -60,7 +60,7 @@ def bucketed_scalars(rows: DataFrame, width: int) -> DataFrame:
         .otherwise(F.col("average"))
     )
     return grouped.select(
-        "spec", "bucket", num.alias("num"), F.col("picked.value_str").alias("str"), F.col("picked.value_kind").alias("kind"), F.col("picked.value_lat").alias("lat"), F.col("picked.value_lon").alias("lon"), F.lit(None).cast(OBJECT).alias("obj")
+        "spec", "bucket", num.alias("num"), F.col("picked.value_str").alias("str"), F.col("picked.value_kind").alias("kind"), F.col("picked.value_lat").alias("lat"), F.col("picked.value_lon").alias("lon"), F.lit(None).cast(OBJECT).alias("obj"), F.lit(0).alias("_n")
     )
 
 
@@ -69,7 +69,7 @@ def raw_scalars(rows: DataFrame, limit: int = RAW_SERIES_LIMIT) -> DataFrame:
     order = Window.partitionBy("spec").orderBy("ts", F.col("source").asc_nulls_first(), "rowid")
     kept = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit)
     return kept.select(
-        "spec", F.col("ts").alias("bucket"), F.col("value_num").alias("num"), F.col("value_str").alias("str"), F.col("value_kind").alias("kind"), F.col("value_lat").alias("lat"), F.col("value_lon").alias("lon"), F.lit(None).cast(OBJECT).alias("obj")
+        "spec", F.col("ts").alias("bucket"), F.col("value_num").alias("num"), F.col("value_str").alias("str"), F.col("value_kind").alias("kind"), F.col("value_lat").alias("lat"), F.col("value_lon").alias("lon"), F.lit(None).cast(OBJECT).alias("obj"), "_n"
     )
 
 
@@ -79,10 +79,10 @@ def deltas(rows: DataFrame) -> DataFrame:
     return rows.groupBy("spec", "aggregate", "ts", "source").agg(F.sort_array(F.collect_list(field)).alias("obj"))
 
 
-def _object_row(bucket_at: Column, obj: Column) -> list[Column]:
+def _object_row(bucket_at: Column, obj: Column, n: Column | None = None) -> list[Column]:
     text = F.lit(None).cast("string")
     real = F.lit(None).cast("double")
-    return [F.col("spec"), bucket_at.alias("bucket"), real.alias("num"), text.alias("str"), text.alias("kind"), real.alias("lat"), real.alias("lon"), obj.alias("obj")]
+    return [F.col("spec"), bucket_at.alias("bucket"), real.alias("num"), text.alias("str"), text.alias("kind"), real.alias("lat"), real.alias("lon"), obj.alias("obj"), (F.lit(0) if n is None else n).alias("_n")]
 
 
 def bucketed_objects(rows: DataFrame, width: int) -> DataFrame:
@@ -98,19 +98,13 @@ def raw_objects(rows: DataFrame, limit: int = RAW_SERIES_LIMIT) -> DataFrame:
     """TOP-3: every delta, the first ``limit`` deltas of each series."""
     order = Window.partitionBy("spec").orderBy("ts", F.col("source").asc_nulls_first())
     kept = deltas(rows).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit)
-    return kept.select(*_object_row(F.col("ts"), F.col("obj")))
+    return kept.select(*_object_row(F.col("ts"), F.col("obj"), F.col("_n")))
 
 
-def last_per_stamp(samples: DataFrame) -> DataFrame:
-    """Of rows of one path at one time only the last in the total order: a series has one value per time."""
-    order = Window.partitionBy("context", "path", "ts").orderBy(F.col("source").desc_nulls_last(), F.desc("rowid"))
-    return with_rowid(samples).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-
-
-def values(samples: DataFrame, specs: Sequence[ValueSpec], bucket_ms: int | None = None, limit: int = RAW_SERIES_LIMIT) -> DataFrame:
+def values(samples: DataFrame, specs: Sequence[ValueSpec], bucket_ms: int | None = None, limit: int = RAW_SERIES_LIMIT, placed: bool = False) -> DataFrame:
     """(spec, bucket, num, str, kind, lat, lon, obj) of all series; ``samples`` are the rows of one context and range.
 
-    Without ``bucket_ms`` every series is raw; with it, only specs that ask for raw are."""
+    Without ``bucket_ms`` every series is raw; with it, only specs that ask for raw are. ``placed`` adds ``_n``, a raw row's place in its series."""
     rows = matched(samples, specs)
     scalars, fields = rows.where("not field"), rows.where("field")
     if bucket_ms is None:
@@ -123,7 +117,7 @@ def values(samples: DataFrame, specs: Sequence[ValueSpec], bucket_ms: int | None
     if any("#" not in s.path for s in specs):
         owned = own.select("spec").distinct()  # at most a row a spec
         own = own.unionAll(objects.join(F.broadcast(owned), "spec", "left_anti"))  # JON-2
-    return own.select(*VALUE_COLUMNS)
+    return own.select(*VALUE_COLUMNS, *(["_n"] if placed else []))
 
 
 def ordered(answer: DataFrame) -> DataFrame:
@@ -144,8 +138,15 @@ def by_source(specs: Sequence[ValueSpec], sources: Sequence[tuple[str, str | Non
 
 
 def numbers_win(answer: DataFrame) -> DataFrame:
-    """VAL-7: a series with a number anywhere loses its text."""
-    series = Window.partitionBy("spec")
-    numeric = F.max(F.col("num").isNotNull()).over(series)
+    """VAL-7: a series with a number anywhere loses its text. One row a spec decides, so no series has to fit a task."""
+    numeric = answer.where(F.col("num").isNotNull()).select("spec").distinct().withColumn("_numeric", F.lit(True))
+    textual = F.col("num").isNull() & F.col("str").isNotNull()
+    return answer.join(F.broadcast(numeric), "spec", "left").where(~(F.coalesce("_numeric", F.lit(False)) & textual)).select(*answer.columns)  # at most MAX_SPECS rows
+
+
+def one_per_stamp(answer: DataFrame) -> DataFrame:
+    """(spec, bucket, v) with ``v`` the cell of a ``placed`` answer: where a series has several rows at one time the last in the total order
+    counts, text before the rest. Series are told apart first, so no source hides another's rows."""
+    cell = F.struct(*CELL_COLUMNS)
     textual = F.col("num").isNull() & F.col("str").isNotNull()
-    return answer.withColumn("_numeric", numeric).where(~(F.col("_numeric") & textual)).drop("_numeric")
+    return answer.groupBy("spec", "bucket").agg(F.max_by(cell, F.struct(textual, "_n")).alias("v"))

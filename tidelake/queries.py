@@ -13,6 +13,7 @@ from tempfile import mkdtemp
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelake.api import Engine, History, PathSpec, over_table
 from tidelake.functions import globs
 from tidelake.functions.instants import bucket, day_of, iso
 from tidelake.functions.pointer import field_key, object_path
@@ -236,12 +237,75 @@ def mixed_path_numeric_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def source_policy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = own(spark, sf_dir, "events.view")
-    found = [(r["name"], r["source"]) for r in scan.list_sources(rows).limit(1000).collect()]  # columns of one answer
+    found = [(r["name"], r["source"]) for r in scan.list_sources(rows).collect()]  # the sources of one path: columns of one answer
     specs = by_source([ValueSpec("events.view")], found)
     labels = spark.createDataFrame([(i, s.source) for i, s in enumerate(specs)], "spec int, wanted string")
     return values(rows, specs, WIDTH).join(F.broadcast(labels), "spec").select("spec", "wanted", "bucket", F.round("num", 6).alias("num"))
 
 
+# --- through the API, several sources at one stamp ------------------------------------------------------------------------
+
+_ORDERS = "o AS (SELECT CAST(epoch_us(o_orderdate) // 1000 AS BIGINT) AS ts, 'orders.' || o_orderstatus AS path, o_orderpriority AS source, o_totalprice AS v, o_orderkey AS rowid FROM orders)"
+_TOP = "(SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY ts, source NULLS FIRST, rowid) AS n FROM o WHERE path = 'orders.O'{more}) WHERE n <= 50000"
+_ALL_TIME = (-(2**42), 2**42)
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> History:
+    return History(Engine(over_table(adapters.order_samples(spark, sf_dir))))
+
+
+def _span(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """The table's own range; buckets are counted over what is asked for."""
+    first, last = adapters.order_samples(spark, sf_dir).agg(F.min("ts"), F.max("ts")).first()
+    return (0, 1) if first is None else (first, last + 1)
+
+
+def _numbers(spark: SparkSession, answer: dict, columns: int) -> DataFrame:
+    names = [f"v{k}" for k in range(columns)]
+    return spark.createDataFrame([tuple(line) for line in answer["data"]], ", ".join(["at string", *(f"{n} double" for n in names)]))  # one bounded answer
+
+
+@registered("api_raw_source", f"WITH {_ORDERS} SELECT strftime(make_timestamp(ts * 1000), '%Y-%m-%dT%H:%M:%S.000Z') AS at, arg_max(v, n) AS v0 FROM " + _TOP.format(by="path", more=" AND source = '1-URGENT'") + " GROUP BY ts")
+def api_raw_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbers(spark, _orders(spark, sf_dir).get_values([PathSpec("orders.O", source="1-URGENT")], *_ALL_TIME), 1)
+
+
+@registered(
+    "api_raw_all_sources",
+    f"WITH {_ORDERS}, r AS (SELECT source, ts, arg_max(v, n) AS v FROM "
+    + _TOP.format(by="source", more="")
+    + " GROUP BY source, ts), k AS (SELECT source, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM (SELECT DISTINCT source FROM r)) SELECT ts AS bucket, "
+    + ", ".join(f"max(v) FILTER (WHERE k = {k}) AS v{k}" for k in range(5))
+    + " FROM r JOIN k ON r.source IS NOT DISTINCT FROM k.source GROUP BY ts",
+)
+def api_raw_all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).values_frame([PathSpec("orders.O")], *_ALL_TIME, source_policy="all")
+
+
+@registered(
+    "api_mixed_raw_bucket",
+    f"""WITH {_ORDERS}, b AS (SELECT ts - ((ts % 864000000) + 864000000) % 864000000 AS bucket, avg(v) AS v0 FROM o WHERE path = 'orders.O' GROUP BY 1),
+g AS (SELECT unnest(generate_series((SELECT min(bucket) FROM b), (SELECT max(bucket) FROM b), 864000000)) AS bucket),
+raw AS (SELECT ts, arg_max(v, n) AS v FROM {_TOP.format(by="path", more="")} GROUP BY ts),
+m AS (SELECT ts AS bucket, CASE WHEN row_number() OVER (ORDER BY ts) - 1 = (SELECT count(*) FROM raw) // 2 THEN v END AS v1 FROM raw)
+SELECT bucket, round(v0, 6) AS v0, v1 FROM (SELECT bucket FROM g UNION SELECT bucket FROM m) LEFT JOIN b USING (bucket) LEFT JOIN m USING (bucket)""",
+)
+def api_mixed_raw_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = _orders(spark, sf_dir).values_frame([PathSpec("orders.O"), PathSpec("orders.O", "middle_index")], *_span(spark, sf_dir), resolution=864_000)
+    return wide.select("bucket", F.round("v0", 6).alias("v0"), "v1")
+
+
+@registered(
+    "api_values_frame",
+    f"WITH {_ORDERS}, r AS (SELECT ts, arg_max(v, n) AS v FROM {_TOP.format(by='path', more='')} GROUP BY ts), u AS (SELECT ts, arg_max(v, n) AS v1 FROM "
+    + _TOP.format(by="path", more=" AND source = '1-URGENT'")
+    + " GROUP BY ts) SELECT ts AS bucket, round(avg(v) OVER (ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS v0, v1 FROM r LEFT JOIN u USING (ts)",
+)
+def api_values_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = _orders(spark, sf_dir).values_frame([PathSpec("orders.O", "sma", "3"), PathSpec("orders.O", source="1-URGENT")], *_ALL_TIME)
+    return wide.select("bucket", F.round("v0", 6).alias("v0"), "v1")
+
+
 # --- timelines and smoothing ---------------------------------------------------------------------------------------------
 
 _B = f"b AS (SELECT CAST({BUCKET} AS BIGINT) AS bucket, avg(value_num) AS v FROM sample WHERE {OWN} AND path = 'events.error' GROUP BY 1)"
@@ -675,7 +739,7 @@ def bench_counter_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(
     "bench_steady",
     query(
-        "SELECT path, round(a, 6) AS first, round(b, 6) AS second, (abs(a) < 1 AND abs(b) < 1) OR abs(b - a) / abs((a + b) / 2) <= 0.1 AS steady FROM h",
+        "SELECT path, round(a, 6) AS first, round(b, 6) AS second, (a < 1 AND b < 1) OR abs(b - a) / abs((a + b) / 2) <= 0.1 AS steady FROM h",
         f"k AS (SELECT path, value_num, row_number() OVER (PARTITION BY path ORDER BY rowid) AS k, count(*) OVER (PARTITION BY path) AS c FROM sample WHERE path LIKE 'events.%')",
         "h AS (SELECT path, avg(value_num) FILTER (WHERE k <= floor(c / 2)) AS a, avg(value_num) FILTER (WHERE k > floor(c / 2)) AS b FROM k GROUP BY path)",
     ),
