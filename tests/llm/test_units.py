@@ -15,6 +15,9 @@ from tidelake.llm.suffix import suffix_batches
 
 TEXTS = ["a b c", "", None, "  A b\nC d e f ", "x" * 50 + " y", "é ü", "a b c d e f", "a\vb\tc\rd\fe", " ", "ab" * 700_000 + " z"]
 
+settings.register_profile("unhurried", deadline=None)  # the first example pays for imports
+settings.load_profile("unhurried")
+
 
 def tuples(text, n=5):
     w = [x for x in re.split("[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
@@ -61,17 +64,67 @@ def test_suffixes_and_prefixes(symbols, budget, tiled):
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 400), max_size=900))
 def test_coder_round_trip(ids):
-    block = mixcoder.encode_block(np.array(ids, np.int32), 401)
-    assert mixcoder.decode_block(block, 401).tolist() == ids
+    block = mixcoder.encode_block(np.array(ids, np.int32))
+    assert mixcoder.decode_block(block).tolist() == ids
+
+
+def test_coder_mixes_orders():
+    rng = np.random.default_rng(5)
+    follow = rng.integers(0, 3000, (3000, 4))  # each id has four followers
+    ids = [0]
+    for k in rng.integers(0, 4, 60_000):
+        ids.append(int(follow[ids[-1], k]))
+    block = mixcoder.encode_block(np.array(ids, np.int32))
+    counts = np.bincount(ids)
+    share = counts[counts > 0] / len(ids)
+    assert 8 * len(block) / len(ids) < 0.7 * -(share * np.log2(share)).sum()  # an order-0 coder can't do better than the entropy
+    assert mixcoder.decode_block(block).tolist() == ids
+    copied = np.array(ids[:1000] * 60, np.int32)
+    assert 8 * len(mixcoder.encode_block(copied)) < 0.4 * 8 * len(block)
+
+
+def _thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+
+
+def _texts_ids(tokenizer, texts):
+    out = []
+    for _, data, offsets in words.batches_of(pa.array(texts, pa.string())):
+        ids, n = tokenizer.ids(data, offsets)
+        out += np.split(ids, np.cumsum(n)[:-1])
+    return [x.tolist() for x in out]
+
+
+def test_words_are_told_apart_by_their_bytes(vocabulary):
+    plain = pytest.importorskip("tokenizers").Tokenizer.from_file(vocabulary)
+    one = _thue_morse(1024)
+    rng = np.random.default_rng(7)
+    texts = [one, one.translate(str.maketrans("ab", "ba")), *("".join(rng.choice(list("abcdefgh"), 400)) for _ in range(20)), one]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] != want[1] and _texts_ids(tokenfile.WordTokenizer(vocabulary), texts) == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from(list("aBé1٣.'-,(<|> \n\ts\u0301\u0338") + ["<|endoftext|>", "'ll", "can't", "Ab1.c"])).map("".join), max_size=6))
+def test_pieces_give_the_ids_of_whole_texts(vocabulary, texts):
+    plain = pytest.importorskip("tokenizers").Tokenizer.from_file(vocabulary)
+    few = tokenfile.WordTokenizer(vocabulary, most=3)  # nearly every batch overflows it
+    for _ in range(2):
+        assert _texts_ids(few, texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_coder_compresses_and_detects_damage():
     ids = np.tile(np.arange(50, dtype=np.int32), 2000)
-    block = mixcoder.encode_block(ids, 1 << 16)
-    assert len(block) < len(ids) / 2 and (mixcoder.decode_block(block, 1 << 16) == ids).all()
+    block = mixcoder.encode_block(ids)
+    assert len(block) < len(ids) / 2 and (mixcoder.decode_block(block) == ids).all()
     for bad in (block[:-1], b"XXXX" + block[4:], block[:40] + bytes([block[40] ^ 1]) + block[41:]):
         with pytest.raises(ValueError):
-            mixcoder.decode_block(bad, 1 << 16)
+            mixcoder.decode_block(bad)
 
 
 @given(st.binary(max_size=40), st.binary(max_size=40))

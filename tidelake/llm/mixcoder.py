@@ -1,13 +1,19 @@
 """Adaptive context-mixing range coder for token ids, in independently reset, checksummed blocks.
 
-A block's ids are cut into lanes of equal length that are coded in lockstep (numpy) with one shared model. For each id the model
-has an order-2 prediction (by the two ids before), an order-1 prediction (by the id before) and order-0 frequencies. How
-far each prediction has proved right so far selects a state; the state's counts mix the orders: the probability that
-the order-2 prediction holds, that the order-1 prediction holds, or that the id comes from the order-0 frequencies.
-These drive a range coder with 48 bits of state and 16-bit output words; carries are settled at the block's end.
-
-Block: magic 'TLB1', then little-endian uint32: number of ids, lanes, crc32 of the ids (uint32 each), crc32 of the payload;
-payload: uint16 word counts of the lanes, then their words.
+A block's ids are cut into lanes of equal length that are coded in lockstep (numpy) with one shared model. The model counts ids
+by themselves (order 0) and by the id before (order 1), and for the two ids before (order 2) keeps the id that followed
+most, by majority vote. An id's probability mixes all three:
+
+    P1 = l1 * n1(id) / N1 + (1 - l1) * P0        P = l2 * [id is the order-2 guess] + (1 - l2) * P1
+
+The weights l1 and l2 belong to states (how much a context has seen, and how clearly) and are learned while coding, by the
+share of the probability that each side of a mix earned. Counts, guesses and weights change between generations of steps, which
+both sides know, and stand still within one; so the encoder prices a generation at once. Cumulative widths are whole numbers in
+the order of ids, so a decoder finds an id by the guess's interval, else by the breakpoints of the order-1 list, else in the
+order-0 table. The range coder has 64 bits of state and 16-bit output words; carries are settled at the block's end.
+
+Block: magic 'TLB2', then little-endian uint32: number of ids, lanes, crc32 of the ids (uint32 each), crc32 of the rest, size of the
+alphabet; the rest: the alphabet (which ids occur, as a deflated bitmap), uint32 word counts of the lanes, then their words.
 """
 
 from __future__ import annotations
@@ -17,65 +23,143 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TLB1"
-LANES, LANE_LEAST = 8192, 128
-ALPHABET_BITS, MIX_BITS, ZERO_BITS = 16, 12, 22
-REBUILD = 16  # steps between new order-0 tables
-HASH_BITS = 18
+MAGIC = b"TLB2"
+LANES, LANE_LEAST = 4096, 128
+ID_BITS, ZERO_BITS = 16, 17  # ids; the total of order 0
+SHARES = 64  # l1 and l2 are multiples of 1 / SHARES
+ONE_BITS = 13  # counts of a context are halved until their sum has so many bits
+EARNED = 256  # the unit in which earnings are summed
+EARLY = 32  # steps that the encoder prices with a table of their own
+LEARN_STEPS = 4  # weights learn from every fourth step
+KEY_SHIFT = 40  # an order-1 breakpoint is below this, its context above it
 U = np.uint64
-_MASK = U((1 << 48) - 1)
+I = np.int64
+
+
+def _generations(steps: int) -> list[tuple[int, int]]:
+    out, at = [], 0
+    while at < steps:
+        to = min(steps, at + max(1, min(at, 128)))
+        out.append((at, to))
+        at = to
+    return out
+
+
+def _bits(x: np.ndarray) -> np.ndarray:
+    return np.frexp(x.astype(np.float64))[1].astype(I)
+
+
+def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums over the groups that begin at ``first`` (one entry more than groups)."""
+    total = np.zeros(len(x) + 1, I)
+    np.cumsum(x, out=total[1:])
+    return np.diff(total[first])
+
+
+def _halved(counts: np.ndarray, first: np.ndarray, bits: int) -> np.ndarray:
+    """Counts scaled group by group until no sum has more than ``bits`` bits or so."""
+    raw = _sums(counts, first)
+    big = np.flatnonzero(raw >> bits)
+    if not len(big):
+        return counts
+    n = counts.copy()
+    sizes = first[big + 1] - first[big]
+    at = np.repeat(first[big] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    shift = np.repeat(_bits(raw[big]) - bits, sizes)
+    n[at] = (n[at] + ((1 << shift) >> 1)) >> shift
+    return n
+
+
+class _Weights:
+    """The mixing weight of each state, from what the two sides of a mix earned."""
+
+    def __init__(self, first: np.ndarray):
+        self.first = (first * EARNED).astype(I)
+        self.earned, self.seen = np.zeros(len(first), I), np.zeros(len(first), I)
+
+    def of(self, state: np.ndarray) -> np.ndarray:
+        share = SHARES * (self.earned + 16 * self.first) // (EARNED * (self.seen + 16))
+        return np.clip(share, 1, SHARES - 1)[state]
+
+    def learn(self, state: np.ndarray, own: np.ndarray, width: np.ndarray) -> None:
+        """own: the part of the interval that one side of the mix gave; earlier generations count half."""
+        size = len(self.seen)
+        self.earned = (self.earned >> 1) + np.bincount(state, (own * float(EARNED) / width).astype(I), size).astype(I)
+        self.seen = (self.seen >> 1) + np.bincount(state, minlength=size)
 
 
 class _Model:
-    def __init__(self, alphabet: int, lanes: int):
+    """What one generation codes by. Pairs (id before + 1, id) come sorted; ``first`` says where each id before begins."""
+
+    def __init__(self, alphabet: int):
         self.alphabet = alphabet
-        self.guess2 = np.zeros(1 << HASH_BITS, np.int32)
-        self.sure2 = np.zeros(1 << HASH_BITS, np.int8)
-        self.guess1 = np.zeros(alphabet + 1, np.int32)
-        self.sure1 = np.zeros(alphabet + 1, np.int8)
-        self.counts = np.ones(alphabet, np.int64)
-        self.mix = np.tile(np.array([4, 4, 8], np.int64), (32, 1))
-        self.before1 = np.zeros(lanes, np.int64)  # 0: none; id + 1
-        self.before2 = np.zeros(lanes, np.int64)
-        self.recent: list[np.ndarray] = []
-        self.step = 0
-        self._tables()
-        self._mixes()
-
-    def _tables(self) -> None:
-        cum = np.concatenate([[0], np.cumsum(self.counts)])
+        self.zero_counts = np.zeros(alphabet, I)
+        ratio = np.arange(16)
+        self.weights1 = _Weights(np.tile(2.0**ratio / (2.0**ratio + 1), 16))
+        self.weights2 = _Weights(np.tile(np.arange(1, 9) / 12, 8))
+
+    def build(self, raw: np.ndarray, first: np.ndarray) -> None:
         spare = (1 << ZERO_BITS) - self.alphabet
-        self.zero = (cum * spare // cum[-1] + np.arange(self.alphabet + 1)).astype(np.int64)
-
-    def _mixes(self) -> None:
-        cum = np.cumsum(self.mix, axis=1)
-        spare = (1 << MIX_BITS) - 3
-        edge = cum * spare // cum[:, 2:] + np.arange(1, 4)
-        self.edges = np.concatenate([np.zeros((32, 1), np.int64), edge], axis=1).ravel()
-
-    def look(self) -> None:
-        self.slot = ((self.before2 * 0x9E3779B1 + self.before1 * 0x85EBCA77) >> 7) & ((1 << HASH_BITS) - 1)
-        self.two, self.one = self.guess2[self.slot], self.guess1[self.before1]
-        self.s2, self.s1 = self.sure2[self.slot], self.sure1[self.before1]
-        self.state = (self.s2.astype(np.int64) * 4 + self.s1) * 2 + (self.two == self.one)
-
-    def learn(self, ids: np.ndarray, which: np.ndarray) -> None:
-        hit2, hit1 = self.two == ids, self.one == ids
-        self.guess2[self.slot] = np.where(hit2 | (self.s2 > 1), self.two, ids)
-        self.sure2[self.slot] = np.where(hit2, np.minimum(self.s2 + 1, 3), np.maximum(self.s2 - 1, 0))
-        self.guess1[self.before1] = np.where(hit1 | (self.s1 > 1), self.one, ids)
-        self.sure1[self.before1] = np.where(hit1, np.minimum(self.s1 + 1, 3), np.maximum(self.s1 - 1, 0))
-        self.mix += 8 * np.bincount(self.state * 3 + which, minlength=96).reshape(32, 3)
-        self.recent.append(ids)
-        self.step += 1
-        self.before2 = self.before1
-        self.before1 = ids.astype(np.int64) + 1
-        if self.step < 16 or self.step % 4 == 0:
-            self._mixes()
-        if self.step in (1, 2, 4, 8, 16) or self.step % REBUILD == 0:
-            self.counts += 32 * np.bincount(np.concatenate(self.recent), minlength=self.alphabet)
-            self.recent = []
-            self._tables()
+        cum = np.concatenate([[0], np.cumsum(self.zero_counts)])
+        self.zero = cum * spare // max(1, cum[-1]) + np.arange(self.alphabet + 1)
+        if not cum[-1]:
+            self.zero[-1] = 1 << ZERO_BITS
+        self.n1 = _halved(raw, first, ONE_BITS)
+        self.sums1 = np.concatenate([[0], np.cumsum(self.n1)])
+        self.base1 = self.sums1[first]
+        total, kinds = np.diff(self.base1), _sums(self.n1 > 0, first)
+        self.state1 = _bits(total) * 16 + _bits(total // np.maximum(kinds, 1))
+        share = self.weights1.of(self.state1)
+        self.some1 = total > 0
+        self.a1 = np.where(self.some1, share << ZERO_BITS, 0)
+        self.b1 = np.where(self.some1, (SHARES - share) * total, 1)
+        self.total1 = np.where(self.some1, SHARES * total, 1) << ZERO_BITS
+
+    def one(self, c: np.ndarray, x: np.ndarray, before: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where an id's order-1 interval starts, its width, and the part of that which the counts give."""
+        a, b, low = self.a1[c], self.b1[c], self.zero[x]
+        own = a * n
+        return a * before + b * low, own + b * (self.zero[x + 1] - low), own
+
+    def learn(self, c: np.ndarray, own1: np.ndarray, width1: np.ndarray, state2: np.ndarray, own2: np.ndarray, width2: np.ndarray) -> None:
+        some = np.flatnonzero(self.some1[c])
+        self.weights1.learn(self.state1[c[some]], own1[some], width1[some])
+        some = np.flatnonzero(state2 >= 0)
+        self.weights2.learn(state2[some], own2[some], width2[some])
+
+
+class _Guesses:
+    """For each pair, the id that followed it most: the majority vote of generations."""
+
+    def __init__(self, pairs: int):
+        self.guess, self.lead, self.seen = (np.zeros(pairs, I) for _ in range(3))
+
+    def moved(self, places: np.ndarray, pairs: int) -> None:
+        for name in ("guess", "lead", "seen"):
+            new = np.zeros(pairs, I)
+            new[places] = getattr(self, name)
+            setattr(self, name, new)
+
+    def vote(self, pair: np.ndarray, x: np.ndarray, names: np.ndarray | None = None) -> None:
+        """``pair``: places in the table, or in the sorted ``names`` of its pairs."""
+        if not len(pair):
+            return
+        key = np.sort((pair.astype(I) << ID_BITS) | x)
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n, key = np.diff(np.append(head, len(key))), key[head]
+        p = key >> ID_BITS
+        group = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+        best = np.maximum.reduceat((n << ID_BITS) | (0xFFFF - (key & 0xFFFF)), group)
+        p = p[group] if names is None else np.searchsorted(names, p[group])
+        total, n, x = np.add.reduceat(n, group), best >> ID_BITS, 0xFFFF - (best & 0xFFFF)
+        lead = np.where(self.guess[p] == x, self.lead[p] + n, self.lead[p] - n)
+        self.guess[p] = np.where(lead < 0, x, self.guess[p])
+        self.lead[p] = np.abs(lead)
+        self.seen[p] += total
+
+    def states(self) -> np.ndarray:
+        """-1 without a guess."""
+        return np.where(self.lead > 0, np.minimum(_bits(self.seen), 8) * 8 - 8 + np.minimum(8 * self.lead // np.maximum(self.seen, 1), 7), -1)
 
 
 def _layout(n: int) -> tuple[int, int]:
@@ -85,121 +169,263 @@ def _layout(n: int) -> tuple[int, int]:
 
 class _Writer:
     def __init__(self, lanes: int, steps: int):
-        self.low, self.range = np.zeros(lanes, U), np.full(lanes, 1 << 48, U)
-        self.words = np.zeros((lanes, 3 * steps + 4), np.int64)  # column 0 takes no word
-        self.used = np.zeros(lanes, np.int64)
-
-    def code(self, at: np.ndarray | slice, start: np.ndarray, size: np.ndarray, bits: int, shifts: int) -> None:
-        r = self.range[at] >> U(bits)
-        low = self.low[at] + start.astype(U) * r
-        rng = size.astype(U) * r
-        lanes = np.arange(len(self.low))[at]
-        over = np.flatnonzero(low > _MASK)
+        self.low, self.range = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U)
+        self.words = np.zeros((3 * steps + 6, lanes), np.int32)  # row 0 takes no word
+        self.used = np.zeros(lanes, I)
+        self.lanes = np.arange(lanes)
+
+    def code(self, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
+        r = self.range // total
+        low = self.low + start * r
+        rng = size * r
+        over = np.flatnonzero(low < self.low)
         if len(over):
-            self.words[lanes[over], self.used[lanes[over]]] += 1
-            low[over] &= _MASK
-        for _ in range(shifts):
-            small = np.flatnonzero(rng < U(1 << 32))
-            if not len(small):
-                break
-            who = lanes[small]
-            self.used[who] += 1
-            self.words[who, self.used[who]] = (low[small] >> U(32)).astype(np.int64)
-            low[small] = (low[small] << U(16)) & _MASK
-            rng[small] <<= U(16)
-        self.low[at], self.range[at] = low, rng
+            self.words[self.used[over], over] += 1
+        small = np.flatnonzero(rng < U(1 << 48))
+        while len(small):
+            self.used[small] += 1
+            part = low[small]
+            self.words[self.used[small], small] = (part >> U(48)).astype(np.int32)
+            low[small] = part << U(16)
+            part = rng[small] << U(16)
+            rng[small] = part
+            small = small[part < U(1 << 48)]
+        self.low, self.range = low, rng
 
     def finish(self) -> list[np.ndarray]:
-        for shift in (32, 16, 0):
+        for shift in (48, 32, 16, 0):
             self.used += 1
-            self.words[np.arange(len(self.used)), self.used] = ((self.low >> U(shift)) & U(0xFFFF)).astype(np.int64)
+            self.words[self.used, self.lanes] = ((self.low >> U(shift)) & U(0xFFFF)).astype(np.int32)
+        words = np.ascontiguousarray(self.words[: int(self.used.max()) + 1].T)
         while True:
-            carry = self.words >> 16
+            carry = words >> 16
             if not carry.any():
                 break
-            self.words &= 0xFFFF
-            self.words[:, :-1] += carry[:, 1:]
-        return [self.words[k, 1 : n + 1].astype("<u2") for k, n in enumerate(self.used.tolist())]
+            words &= 0xFFFF
+            words[:, :-1] += carry[:, 1:]
+        return [words[k, 1 : n + 1].astype("<u2") for k, n in enumerate(self.used.tolist())]
+
+
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys, and each key's place among them. Keys and positions share 64 bits, so one plain sort does."""
+    bits = max(1, int(keys.size - 1).bit_length())
+    mixed = np.sort((keys.ravel() << bits) | np.arange(keys.size))
+    key = mixed >> bits
+    head = np.empty(len(key), bool)
+    head[:1] = True
+    np.not_equal(key[1:], key[:-1], out=head[1:])
+    place = np.empty(len(key), np.int32)
+    place[mixed & ((1 << bits) - 1)] = np.cumsum(head, dtype=np.int32) - 1
+    return key[head], place.reshape(keys.shape)
+
 
+def _pairs(columns: np.ndarray) -> np.ndarray:
+    """(id before + 1, id), 0 where a lane has none before."""
+    before = np.zeros(columns.shape, I)
+    before[1:] = columns[:-1] + 1
+    return (before << ID_BITS) | columns
 
-def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
-    """One block; ``ids`` are below ``alphabet``, which is below 2**16 + 1."""
+
+def encode_block(ids: np.ndarray) -> bytes:
+    """One block of less than 2**24 ids below 2**16."""
     ids = np.ascontiguousarray(ids, np.int32)
     n = len(ids)
     lanes, steps = _layout(n)
-    padded = np.zeros(lanes * steps, np.int32)
-    padded[:n] = ids
-    columns = padded.reshape(lanes, steps).T.copy()
-    model, out = _Model(alphabet, lanes), _Writer(lanes, steps)
-    everyone = slice(None)
-    for t in range(steps if n else 0):
-        x = columns[t]
-        model.look()
-        which = np.where(x == model.two, 0, np.where(x == model.one, 1, 2))
-        at = model.state * 4 + which
-        start = model.edges[at]
-        out.code(everyone, start, model.edges[at + 1] - start, MIX_BITS, 1)
-        new = np.flatnonzero(which == 2)
-        if len(new):
-            start = model.zero[x[new]]
-            out.code(new, start, model.zero[x[new] + 1] - start, ZERO_BITS, 2)
-        model.learn(x, which)
+    there = np.bincount(ids, minlength=1 << ID_BITS) > 0
+    alphabet = int(there.sum())
+    columns = np.zeros(lanes * steps, I)
+    columns[:n] = (np.cumsum(there) - 1)[ids]
+    columns = columns.reshape(lanes, steps).T.copy()
+    out = _Writer(lanes, steps)
+    if n:
+        model = _Model(alphabet)
+        generations = _generations(steps)
+        early = [g for g in generations if g[1] <= EARLY]  # their pairs are few
+        for some in (early, generations[len(early) :]):
+            if some:
+                _encode(columns[: some[-1][1]], some, model, out)
     words = out.finish()
-    payload = np.array([len(w) for w in words], "<u2").tobytes() + b"".join(w.tobytes() for w in words)
-    return MAGIC + struct.pack("<4I", n, lanes, zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(payload)) + payload
+    rest = zlib.compress(np.packbits(there).tobytes(), 9)
+    rest += np.array([len(w) for w in words], "<u4").tobytes() + b"".join(w.tobytes() for w in words)
+    return MAGIC + struct.pack("<5I", n, lanes, zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(rest), alphabet) + rest
+
+
+def _encode(columns: np.ndarray, generations: list[tuple[int, int]], model: _Model, out: _Writer) -> None:
+    key, place = _ranked(_pairs(columns))
+    none = len(key)
+    own_of = key >> ID_BITS
+    first = np.searchsorted(own_of, np.arange(model.alphabet + 2))
+    raw = np.zeros(none, I)
+    guesses = _Guesses(none + 1)
+    begin = generations[0][0]
+    for a, b in _generations(begin):  # what earlier generations taught
+        raw += np.bincount(place[a:b].ravel(), minlength=none)
+        guesses.vote(place[max(0, a - 1) : b - 1].ravel(), columns[max(1, a) : b].ravel())
+    for a, b in generations:
+        model.build(raw, first)
+        start_of, width_of, part_of = model.one(own_of, key & ((1 << ID_BITS) - 1), model.sums1[:-1] - model.base1[own_of], model.n1)
+        state = guesses.states()
+        share = model.weights2.of(np.maximum(state, 0))
+        x, p = columns[a:b], place[a:b]
+        c = own_of[p]
+        start, width1, own1, total = start_of[p], width_of[p], part_of[p], model.total1[c]
+        j = np.full(p.shape, none, np.int32)
+        j[1 if a == 0 else 0 :] = place[max(0, a - 1) : b - 1]
+        state2 = state[j]
+        l2 = np.where(state2 >= 0, share[j], 0)
+        gap = l2 * total
+        guess = guesses.guess[j]
+        m = np.where(state2 >= 0, SHARES - l2, 1)
+        own2 = np.where(x == guess, gap, 0)
+        start = m * start + np.where(x > guess, gap, 0)
+        width2 = m * width1 + own2
+        total = total * np.where(state2 >= 0, SHARES, 1)
+        for k in range(b - a):
+            out.code(start[k].view(U), width2[k].view(U), total[k].view(U))
+        step = slice(-a % LEARN_STEPS, None, LEARN_STEPS)
+        model.learn(c[step].ravel(), own1[step].ravel(), width1[step].ravel(), state2[step].ravel(), own2[step].ravel(), width2[step].ravel())
+        model.zero_counts += np.bincount(x.ravel(), minlength=model.alphabet)
+        raw += np.bincount(p.ravel(), minlength=none)
+        guesses.vote(place[max(0, a - 1) : b - 1].ravel(), columns[max(1, a) : b].ravel())
+
+
+def _merged(keys: np.ndarray, counts: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and counts with more of them, and the new places of the old keys."""
+    more = np.sort(more)
+    head = np.flatnonzero(np.concatenate([[True], more[1:] != more[:-1]]))
+    fresh, n = more[head], np.diff(np.append(head, len(more)))
+    at = np.searchsorted(keys, fresh)
+    old = np.zeros(len(fresh), bool)
+    inside = at < len(keys)
+    old[inside] = keys[at[inside]] == fresh[inside]
+    counts[at[old]] += n[old]
+    where, new = at[~old], fresh[~old]
+    moved = np.arange(len(keys)) + np.searchsorted(new, keys)
+    out, total = np.empty(len(keys) + len(new), I), np.empty(len(keys) + len(new), I)
+    there = where + np.arange(len(new))
+    out[moved], total[moved], out[there], total[there] = keys, counts, new, n[~old]
+    return out, total, moved
 
 
-def decode_block(block: bytes, alphabet: int) -> np.ndarray:
+class _Reader:
+    """A generation's tables for the decoder."""
+
+    def __init__(self, model: _Model, key: np.ndarray, first: np.ndarray, guesses: _Guesses):
+        self.none = len(key)
+        self.zero, self.sums1, self.a1, self.b1, self.total1, self.first = model.zero, model.sums1, model.a1, model.b1, model.total1, first
+        c, x = key >> ID_BITS, key & ((1 << ID_BITS) - 1)
+        start, width, own = model.one(c, x, model.sums1[:-1] - model.base1[c], model.n1)
+        self.key, self.start1, self.end1 = (c << KEY_SHIFT) | start, start, start + width
+        self.width1, self.own1, self.id1 = width, own, x
+        # order 2, by the pair before: multiple of the total, order 1's factor, the guess's own part, begin and end of its interval, its pair
+        state = guesses.states()
+        there = np.flatnonzero(state >= 0)
+        share = model.weights2.of(state[there])
+        c2 = x[there] + 1
+        g = np.searchsorted(key, (c2 << ID_BITS) | guesses.guess[there])
+        rows = np.zeros((len(key) + 1, 8), I)
+        rows[:, 0], rows[:, 1], rows[:, 3], rows[:, 4], rows[:, 6] = 1, 1, 1 << 62, 1 << 62, -1
+        gap = share * model.total1[c2]
+        begin = (SHARES - share) * start[g]
+        for k, v in enumerate((SHARES, SHARES - share, gap, begin, begin + gap + (SHARES - share) * width[g], g, state[there])):
+            rows[there, k] = v
+        self.rows = rows
+
+    def step(self, c: np.ndarray, j: np.ndarray, code: np.ndarray, rng: np.ndarray, words: np.ndarray, at: np.ndarray, said: list | None) -> tuple[np.ndarray, np.ndarray]:
+        """Decodes an id of every lane; returns the next contexts."""
+        times, m, gap, begin, end, guess, state = np.ascontiguousarray(self.rows.take(j, axis=0).T)[:7]
+        total = self.total1[c] * times
+        r = rng // total.view(U)
+        v = np.minimum((code // r).view(I), total - 1)
+        above = v >= end
+        hit = (v >= begin) & ~above
+        left = np.flatnonzero(~hit)
+        cl = c[left]
+        ul = (v[left] - np.where(above[left], gap[left], 0)) // m[left]
+        pair = guess
+        q = np.searchsorted(self.key, (cl << KEY_SHIFT) | ul, side="right")
+        if self.none:
+            before = np.maximum(q - 1, 0)
+            found = (q > self.first[cl]) & (ul < self.end1[before])
+            pair[left] = np.where(found, before, self.none)
+            miss = np.flatnonzero(~found)
+            new, cn, un, q = left[miss], cl[miss], ul[miss], q[miss]
+            pair0 = np.where(pair < self.none, pair, 0)
+            x, start, width, own = self.id1[pair0], self.start1[pair0], self.width1[pair0], self.own1[pair0]
+        else:
+            new, cn, un = left, cl, ul
+            pair = np.zeros(len(c), I)
+            x, start, width, own = (np.zeros(len(c), I) for _ in range(4))
+        b1 = self.b1[cn]
+        gone = self.a1[cn] * (self.sums1[q] - self.sums1[self.first[cn]])
+        ids = np.searchsorted(self.zero, (un - gone) // b1, side="right") - 1
+        low = self.zero[ids]
+        x[new], own[new] = ids, 0
+        start[new] = gone + b1 * low
+        width[new] = b1 * (self.zero[ids + 1] - low)
+        own2 = np.where(hit, gap, 0)
+        start = m * start + np.where(above, gap, 0)
+        width2 = m * width + own2
+        if said is not None:
+            said.append((c, own, width, state, own2, width2))
+        code -= start.view(U) * r
+        np.multiply(width2.view(U), r, out=rng)
+        small = np.flatnonzero(rng < U(1 << 48))
+        while len(small):
+            w = at[small]
+            code[small] = (code[small] << U(16)) | words[np.minimum(w, len(words) - 1)]
+            at[small] = w + 1
+            part = rng[small] << U(16)
+            rng[small] = part
+            small = small[part < U(1 << 48)]
+        return x + 1, pair
+
+
+def decode_block(block: bytes) -> np.ndarray:
     """The ids; ValueError if the block is damaged."""
-    if block[:4] != MAGIC or len(block) < 20:
+    if block[:4] != MAGIC or len(block) < 24:
         raise ValueError("not a block")
-    n, lanes, ids_crc, payload_crc = struct.unpack("<4I", block[4:20])
-    payload = block[20:]
-    if zlib.crc32(payload) != payload_crc or _layout(n)[0] != lanes:
-        raise ValueError("the block's payload is damaged")
+    n, lanes, ids_crc, rest_crc, alphabet = struct.unpack("<5I", block[4:24])
+    if zlib.crc32(block[24:]) != rest_crc or _layout(n)[0] != lanes:
+        raise ValueError("the block is damaged")
     steps = _layout(n)[1]
-    sizes = np.frombuffer(payload, "<u2", lanes).astype(np.int64)
-    words = np.append(np.frombuffer(payload, "<u2", offset=2 * lanes), np.zeros(4, "<u2")).astype(U)
+    bitmap = zlib.decompressobj()
+    there = np.unpackbits(np.frombuffer(bitmap.decompress(block[24:]), np.uint8))
+    payload = bitmap.unused_data
+    sizes = np.frombuffer(payload, "<u4", lanes).astype(I)
+    words = np.append(np.frombuffer(payload, "<u2", offset=4 * lanes), np.zeros(8, "<u2")).astype(U)
     at = np.cumsum(sizes) - sizes
-    code = (words[at] << U(32)) | (words[at + 1] << U(16)) | words[at + 2]
-    at += 3
-    rng = np.full(lanes, 1 << 48, U)
-    model = _Model(alphabet, lanes)
-    columns = np.empty((steps, lanes), np.int32)
-
-    def narrow(who: np.ndarray | slice, start: np.ndarray, size: np.ndarray, r: np.ndarray, shifts: int) -> None:
-        c, g = code[who] - start.astype(U) * r, size.astype(U) * r
-        lane = np.arange(lanes)[who]
-        for _ in range(shifts):
-            small = np.flatnonzero(g < U(1 << 32))
-            if not len(small):
-                break
-            c[small] = (c[small] << U(16)) | words[np.minimum(at[lane[small]], len(words) - 1)]
-            at[lane[small]] += 1
-            g[small] <<= U(16)
-        code[who], rng[who] = c, g
-
-    everyone = slice(None)
-    for t in range(steps if n else 0):
-        model.look()
-        r = rng >> U(MIX_BITS)
-        value = (code // r).astype(np.int64)
-        base = model.state * 4
-        e1, e2 = model.edges[base + 1], model.edges[base + 2]
-        which = (value >= e1).astype(np.int64) + (value >= e2)
-        start = model.edges[base + which]
-        narrow(everyone, start, model.edges[base + which + 1] - start, r, 1)
-        x = np.where(which == 0, model.two, model.one)
-        new = np.flatnonzero(which == 2)
-        if len(new):
-            r = rng[new] >> U(ZERO_BITS)
-            found = np.searchsorted(model.zero, (code[new] // r).astype(np.int64), side="right") - 1
-            start = model.zero[found]
-            narrow(new, start, model.zero[found + 1] - start, r, 2)
-            x[new] = found
-        columns[t] = x
-        model.learn(x, which)
-    ids = columns.T.ravel()[:n]
+    code = (words[at] << U(48)) | (words[at + 1] << U(32)) | (words[at + 2] << U(16)) | words[at + 3]
+    at += 4
+    rng = np.full(lanes, (1 << 64) - 1, U)
+    columns = np.zeros((steps, lanes), I)
+    if n:
+        model, guesses = _Model(alphabet), _Guesses(1)
+        key, raw = np.zeros(0, I), np.zeros(0, I)
+    for a, b in _generations(steps) if n else []:
+        first = np.searchsorted(key >> ID_BITS, np.arange(alphabet + 2))
+        model.build(raw, first)
+        reader = _Reader(model, key, first, guesses)
+        c, j = np.zeros(lanes, I), np.full(lanes, len(key))
+        if a:
+            c = columns[a - 1] + 1
+            j = np.searchsorted(key, ((columns[a - 2] + 1 if a > 1 else 0) << ID_BITS) | columns[a - 1])
+        said: list[tuple] = []
+        for step in range(a, b):
+            c, j = reader.step(c, j, code, rng, words, at, said if step % LEARN_STEPS == 0 else None)
+            columns[step] = c - 1
+            if not reader.none:
+                j = np.zeros(lanes, I)  # no pair is known yet, so no guess
+        nothing = [np.zeros(0, I)] * 6
+        model.learn(*(np.concatenate(part) for part in zip(nothing, *said, strict=True)))
+        model.zero_counts += np.bincount(columns[a:b].ravel(), minlength=alphabet)
+        pairs = _pairs(columns[max(0, a - 1) : b])
+        if a > 1:
+            pairs[0] = ((columns[a - 2] + 1) << ID_BITS) | columns[a - 1]
+        key, raw, moved = _merged(key, raw, (pairs if a == 0 else pairs[1:]).ravel())
+        guesses.moved(np.append(moved, len(key)), len(key) + 1)
+        guesses.vote(pairs[:-1].ravel(), columns[max(1, a) : b].ravel(), key)
+    ids = np.flatnonzero(there)[columns.T.ravel()[:n]].astype(np.int32) if n else np.zeros(0, np.int32)
     if zlib.crc32(ids.astype("<u4").tobytes()) != ids_crc:
         raise ValueError("the block's ids are damaged")
     return ids

@@ -1,107 +1,130 @@
 """Token-id files: documents to ids, ids to range-coded blocks, and back.
 
 Documents are ranged by id, so ascending ids run through the partitions; each partition is tokenised in a stream and cut
-into blocks of about a million ids, which an adaptive context-mixing coder packs (``mixcoder``). A file is a table of (part,
+into blocks of about two million ids, which an adaptive context-mixing coder packs (``mixcoder``). A file is a table of (part,
 block, ids and counts of the documents or pieces in the block, payload); Spark commits it, so a lost executor leaves
 no partial file. Reading needs the file alone: blocks decode independently, and a document's checksum over several blocks is
 combined from its pieces'.
 
-Every distinct word of a worker's recent texts goes through the tokenizer once: the vocabulary's pre-tokenizer never joins
+Every distinct word of a worker's recent texts, compared byte by byte, goes through the tokenizer once: the vocabulary's pre-tokenizer never joins
 what white space parts, so a text's ids are those of its words in order.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelake.llm.common import Stage
 from tidelake.llm.mixcoder import decode_block, encode_block
-from tidelake.llm.words import U, batches_of, hash_ranges, word_bounds
+from tidelake.llm.words import batches_of, distinct_words, word_bounds
 
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 21
+BATCH_BYTES = 8 << 20
 END_ID = 1
-ALPHABET = 1 << 16
 FILE = "part int, block int, doc_ids array<bigint>, counts array<bigint>, first_open boolean, last_open boolean, payload binary"
 
 
+# The vocabulary's pre-tokenizer parts letters, single digits and runs of other characters; only an apostrophe can bind what is
+# on both sides of such a border, and only '<', '|' and '>' occur in special tokens.
+_KIND = np.array([1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 if 32 < b < 127 and chr(b) not in "'<|>" else 0 for b in range(128)] + [0] * 128, np.uint8)
+_APART = np.array([a > 0 and b > 0 and (a != b or a == 2) for a in range(4) for b in range(4)])
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
 class WordTokenizer:
-    """Ids of texts by way of their distinct words; keeps at most ``most`` words."""
+    """Ids of texts by way of their distinct words (parted at borders that the pre-tokenizer parts too), compared byte by byte; keeps ``most`` words, and those of a batch."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.keys, self.at, self.n = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known = pa.array([], pa.binary())
+        self.at, self.n, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
 
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [e.ids for k in range(0, len(words), 8192) for e in encode(words[k : k + 8192], add_special_tokens=False)]
+    @staticmethod
+    @functools.lru_cache(maxsize=2)
+    def of_worker(path: str) -> WordTokenizer:
+        """One a process: a worker's later tasks meet the same words."""
+        return WordTokenizer(path)
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        found = self._encode(words)
+    def _ids(self, place: np.ndarray) -> np.ndarray:
+        n = self.n[place]
+        total = np.cumsum(n)
+        return self.pool[np.repeat(self.at[place] - (total - n), n) + np.arange(int(n.sum()))]
+
+    def _learn(self, words: pa.Array) -> None:
+        texts = words.cast(pa.string()).to_pylist()
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        found = [e.ids for k in range(0, len(texts), 8192) for e in encode(texts[k : k + 8192], add_special_tokens=False)]
         n = np.fromiter(map(len, found), np.int64, len(found))
-        fresh = np.fromiter((x for ids in found for x in ids), np.int32, int(n.sum()))
-        if len(self.keys) + len(keys) > self.most:
-            self.keys, self.at, self.n, self.pool = self.keys[:0], self.at[:0], self.n[:0], self.pool[:0]
-        where = np.searchsorted(self.keys, keys)
-        self.at = np.insert(self.at, where, len(self.pool) + np.cumsum(n) - n)
-        self.n = np.insert(self.n, where, n)
-        self.keys = np.insert(self.keys, where, keys)
+        fresh = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(n.sum()))
+        if len(self.n) + len(n) > self.most:  # words of several batches stay, up to half of the room
+            keep = np.sort(np.argsort(-self.uses, kind="stable")[: self.most // 2])
+            keep = keep[self.uses[keep] > 1]
+            self.pool, self.n, self.uses = self._ids(keep), self.n[keep], self.uses[keep] >> 1
+            self.at = np.cumsum(self.n) - self.n
+            self.known = self.known.take(pa.array(keep))
+        self.known = pa.concat_arrays([self.known, words])
+        self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(n) - n])
+        self.n = np.concatenate([self.n, n])
+        self.uses = np.concatenate([self.uses, np.zeros(len(n), np.int64)])
         self.pool = np.concatenate([self.pool, fresh])
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of neighbouring texts, and how many each text has."""
-        starts, ends = word_bounds(data, offsets)
-        keys = hash_ranges(data, starts, ends)
-        # a special token's own spelling is case-sensitive, unlike the keys: such words are marked by their case
-        odd = np.flatnonzero(data == 60)
-        if len(odd) and len(starts):
-            word = np.clip(np.searchsorted(starts, odd, side="right") - 1, 0, None)
-            for w in np.unique(word[odd < ends[word]]).tolist():
-                keys[w] ^= U(zlib.crc32(data[starts[w] : ends[w]].tobytes()) << 16 | 1)
-        values, first, where = np.unique(keys, return_index=True, return_inverse=True)
-        new = ~np.isin(values, self.keys, assume_unique=True)
-        if new.any():
-            if len(self.keys) + int(new.sum()) > self.most:
-                new[:] = True
-            raw = data.tobytes()
-            self._learn(values[new], [raw[starts[k] : ends[k]].decode() for k in first[new].tolist()])
-        at = np.searchsorted(self.keys, values)
-        n = self.n[at][where]
-        total = np.concatenate([[0], np.cumsum(n)])
-        flat = np.repeat(self.at[at][where] - total[:-1], n) + np.arange(int(total[-1]))
-        edges = total[np.searchsorted(starts, offsets)]
-        return self.pool[flat], np.diff(edges)
+        low, kind = _LOWER[data], _KIND[data]
+        starts, ends = word_bounds(data, offsets, cuts=np.flatnonzero(_APART[kind[:-1] * np.uint8(4) + kind[1:]]) + 1)
+        odd = np.flatnonzero(data == 60)  # a special token is spelt in one case only, so words with '<' keep theirs
+        for w in np.unique(np.searchsorted(starts, odd, side="right") - 1).tolist():
+            low[starts[w] : ends[w]] = data[starts[w] : ends[w]]
+        words, where = distinct_words(low, starts, ends)
+        place = pc.index_in(words, value_set=self.known)
+        if place.null_count:
+            self._learn(words.filter(pc.is_null(place)))
+            place = pc.index_in(words, value_set=self.known)
+            if place.null_count:  # words of this batch had to go
+                self.known = self.known.slice(0, 0)
+                self.at, self.n, self.uses, self.pool = self.at[:0], self.n[:0], self.uses[:0], self.pool[:0]
+                self._learn(words)
+                place = pc.index_in(words, value_set=self.known)
+        place = place.to_numpy()
+        self.uses[place] += 1
+        found = place[where]
+        total = np.concatenate([[0], np.cumsum(self.n[found])])
+        return self._ids(found), np.diff(total[np.searchsorted(starts, offsets)])
 
 
 def _write(path: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        tokenizer = WordTokenizer(path)
+        tokenizer = WordTokenizer.of_worker(path)
         held: list[np.ndarray] = []
         docs: list[int | None] = []
         counts: list[int] = []
         size, block, first_open = 0, 0, False
 
         def row(ids: np.ndarray, last_open: bool) -> pa.RecordBatch:
-            values = [[part], [block], [docs], [counts], [first_open], [last_open], [encode_block(ids, ALPHABET)]]
+            values = [[part], [block], [docs], [counts], [first_open], [last_open], [encode_block(ids)]]
             kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), pa.binary()]
             names = ["part", "block", "doc_ids", "counts", "first_open", "last_open", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for i, data, offsets in batches_of(batch.column(1), 2 << 20):
+            for i, data, offsets in batches_of(batch.column(1), BATCH_BYTES):
                 ids, sizes = tokenizer.ids(data, offsets)
                 stops = np.cumsum(sizes)
                 every = np.insert(ids, stops, end_id).astype(np.int32)
@@ -135,7 +158,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
-            ids = decode_block(r["payload"], ALPHABET).astype("<u4")
+            ids = decode_block(r["payload"]).astype("<u4")
             stops = np.cumsum(r["counts"])
             raw = ids.tobytes()
             crc = [zlib.crc32(raw[4 * (b - n) : 4 * b]) for n, b in zip(r["counts"], stops.tolist(), strict=True)]

@@ -47,12 +47,15 @@ _POW = _powers(_BASE, BLOCK + 1)
 _INV = _powers(_INVERSE, BLOCK + 1)
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of texts laid end to end; words never cross an offset. ``space``: bytes outside words."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of texts laid end to end; words never cross an offset. ``space``: bytes outside words; ``cuts``:
+    places where a word is cut in two."""
     inside = np.zeros(len(data) + 2, bool)
     np.logical_not(space[data], out=inside[1:-1])
     cut = np.zeros(len(data) + 1, bool)  # cut[i]: a text ends before byte i
     cut[offsets] = True
+    if cuts is not None:
+        cut[cuts] = True
     starts = np.flatnonzero(inside[1:] & (cut | ~inside[:-1]))
     ends = np.flatnonzero(inside[:-1] & (cut | ~inside[1:]))
     return starts, ends
@@ -115,6 +118,15 @@ def batches_of(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, np.n
         i = j
 
 
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, space: np.ndarray = SPACE) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words (compared byte by byte), and each word's place among them; the words are all of ``data`` but its spaces."""
+    at = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=at[1:])
+    letters = data[~space[data]]  # the words laid end to end
+    coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(letters)]).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
+
+
 def scan(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words, the first word of each text (and the end), and the words' starts and ends."""
     starts, ends = word_bounds(data, offsets, space)
