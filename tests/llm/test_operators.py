@@ -72,6 +72,28 @@ def test_near_duplicates(spark):
     assert near_duplicates(docs(spark, "x").limit(0)).count() == 0
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    other = prose(9, 60)
+    close = other + " more"
+    for rows in ([(5, BASE), (5, other), (9, close)], [(5, other), (5, BASE), (9, close)]):
+        got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(docs(spark, *[t for _, t in rows], ids=[i for i, _ in rows])).collect())
+        assert got == [(5, 5, True), (5, 5, True), (9, 5, False)]
+
+
+def test_near_duplicates_in_buckets_of_several_groups(spark):
+    """Chains and unlike pairs in shared buckets: links that no star confirms must be found in the second step."""
+    rng = np.random.default_rng(11)
+    base = prose(21, 120).split()
+    many = []
+    for i in range(70):
+        words = list(base)
+        for k in rng.choice(120, int(rng.integers(1, 9)), replace=False):
+            words[k] = f"w{i}x{k}"
+        many.append(" ".join(words))
+    for block in (4, 256):
+        assert sorted(tuple(r) for r in near_duplicates(docs(spark, *many), block_docs=block).collect()) == brute_components(list(enumerate(many)))
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 101), (None, 3)], "x long, y long")
     found = {r["node"]: r["component"] for r in components(links, "x", "y").collect()}

@@ -1,21 +1,20 @@
-"""Vectorised word and shingle hashing over UTF-8 buffers (numpy only).
+"""Vectorised word and shingle hashing over UTF-8 buffers (numpy and Arrow).
 
-Words are maximal runs without space, tab, LF, VT, FF or CR; A-Z are lower-cased. A word's hash is a
-polynomial over a random byte table modulo 2**64, finally mixed; equal words have equal hashes in every
-process, and chance collisions have probability about 2**-64 a pair.
+Words are maximal runs without space, tab, LF, VT, FF or CR; A-Z are lower-cased. Equal words of a batch are found by
+their bytes; a distinct word's hash is the first 64 bits of its BLAKE2b digest, so that words can't be made to share one but by
+trying some 2**32 of them; chance collisions have probability 2**-64 a pair. Shingles are sums of such hashes, each times a power.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BLOCK = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 5
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BLOCK = 4 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,28 +24,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _lower_table() -> np.ndarray:
-    table = np.arange(256)
-    table[65:91] += 32
-    return table
-
-
-_VALUES = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))[_lower_table()]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += np.uint8(32)
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(out, dtype=U)
-
-
-_POW = _powers(_BASE, BLOCK + 1)
-_INV = _powers(_INVERSE, BLOCK + 1)
-
-
 def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of texts laid end to end; words never cross an offset. ``space``: bytes outside words; ``cuts``:
     places where a word is cut in two."""
@@ -61,32 +44,6 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE
     return starts, ends
 
 
-def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the ranges (ascending, not overlapping) of ``data``; memory is bounded by BLOCK."""
-    out = np.empty(len(starts), U)
-    i = 0
-    while i < len(starts):
-        base = int(starts[i])
-        j = int(np.searchsorted(ends, base + BLOCK, side="right"))
-        if j == i:  # one range longer than a block
-            h, at, end = 0, base, int(ends[i])
-            while at < end:
-                part = data[at : min(at + BLOCK, end)]
-                with np.errstate(over="ignore"):
-                    piece = int(np.sum(_VALUES[part] * _POW[: len(part)], dtype=U))
-                h = (h * 0xD6E8FEB86659FD93 + piece + 1) % (1 << 64)
-                at += BLOCK
-            out[i] = h
-            i += 1
-            continue
-        s, e = starts[i:j] - base, ends[i:j] - base
-        prefix = np.zeros(int(e[-1]) + 1, U)
-        np.cumsum(_VALUES[data[base : base + int(e[-1])]] * _POW[: int(e[-1])], out=prefix[1:])
-        out[i:j] = (prefix[e] - prefix[s]) * _INV[s]
-        i = j
-    return mix(out ^ ((ends - starts).astype(U) * U(0xA24BAED4963EE407)))
-
-
 _STEP = [U(pow(0xBEA225F9EB34556D, k + 1, 1 << 64)) for k in range(16)]
 
 
@@ -127,10 +84,36 @@ def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, space
     return coded.dictionary, coded.indices.to_numpy()
 
 
+def hash_words(distinct: pa.Array) -> np.ndarray:
+    """64 bits of each word's digest."""
+    digest = hashlib.blake2b
+    return np.frombuffer(b"".join([digest(w, digest_size=8).digest() for w in distinct.to_pylist()]), "<u8")
+
+
 def scan(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words, the first word of each text (and the end), and the words' starts and ends."""
     starts, ends = word_bounds(data, offsets, space)
-    return hash_ranges(data, starts, ends), np.searchsorted(starts, offsets), starts, ends
+    distinct, where = distinct_words(LOWER[data], starts, ends, space)
+    return hash_words(distinct)[where], np.searchsorted(starts, offsets), starts, ends
+
+
+def exact_shingles(texts: list[str | None], n: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers for the n-word shingles of a few texts, and where each text's begin (and the end): equal numbers mean equal words,
+    byte by byte. A text with fewer words has one, its whole sequence; a text's shingles may repeat."""
+    data = np.frombuffer("".join(t or "" for t in texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len((t or "").encode()) for t in texts])]).astype(np.int64)
+    starts, ends = word_bounds(data, offsets)
+    _, words = distinct_words(LOWER[data], starts, ends)
+    first = np.searchsorted(starts, offsets)
+    words = np.concatenate([words.astype(np.int64) + 1, np.zeros(n, np.int64)])  # 0: none
+    code = np.zeros(len(starts), np.int64)
+    stop = np.repeat(first[1:], np.diff(first))
+    at = np.arange(len(starts))
+    for k in range(n):
+        next_word = np.where(at + k < stop, words[at + k], 0)
+        code = np.unique((code << 31) | next_word, return_inverse=True)[1].astype(np.int64) + 1
+    use = (stop - at >= n) | (at == np.repeat(first[:-1], np.diff(first)))
+    return code[use], np.concatenate([[0], np.cumsum(use)])[first]
 
 
 def shingle_sets(column: pa.Array, n: int = 5) -> Iterator[np.ndarray]:
