@@ -143,6 +143,47 @@ def test_best_fit(sizes):
     assert len(caps) <= 2 * -(-sum(sizes) // 64) + 1
 
 
+def _total_cost(caps):
+    return sum(packing.length_cost(c) for c in caps)
+
+
+def test_mixed_lengths_beat_the_longest_alone():
+    rng = np.random.default_rng(2)
+    chosen = set()
+    for sizes in (rng.integers(1, 900, 3000), rng.integers(300, 512, 2000), np.concatenate([rng.integers(1, 200, 3000), rng.integers(1500, 4096, 300)]), rng.zipf(1.3, 4000) % 4096 + 1):
+        sizes = sizes.tolist()
+        _, mixed = packing.best_fit(sizes, (512, 1024, 2048, 4096))
+        _, alone = packing.best_fit(sizes, (4096,))
+        assert _total_cost(mixed) < 0.97 * _total_cost(alone) and sum(sizes) / sum(mixed) > 0.9
+        chosen |= set(mixed)
+    assert chosen == {512, 1024, 2048, 4096}
+
+
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=7))
+def test_packing_is_near_the_cheapest(sizes):
+    """Against every way to share out a few pieces."""
+    caps = (4, 8, 12)
+
+    def price(used):
+        return sum(packing.length_cost(min(c for c in caps if c >= u), 40.0, 1.0) for u in used)
+
+    def best(k, used):
+        if k == len(sizes):
+            return price(used)
+        found = best(k + 1, [*used, sizes[k]])
+        for b, u in enumerate(used):
+            if u + sizes[k] <= 12:
+                found = min(found, best(k + 1, [*used[:b], u + sizes[k], *used[b + 1 :]]))
+        return found
+
+    bins, got = packing.best_fit(sizes, caps, 40.0, 1.0)
+    used = [0] * len(got)
+    for s, b in zip(sizes, bins):
+        used[b] += s
+    assert got == [min(c for c in caps if c >= u) for u in used]
+    assert best(0, []) - 1e-9 <= price(used) <= 1.7 * best(0, [])
+
+
 def test_alignment():
     w = words.scan(np.frombuffer(b"a b c d e f g h", np.uint8).copy(), np.array([0, 15]))[0]
     gap, swap = np.delete(w, 3), w.copy()
