@@ -199,6 +199,18 @@ def test_language(spark):
     assert langid.identify(table.limit(0), model).count() == 0
 
 
+def test_language_learns_from_rows_not_texts(spark):
+    """A language whose rows are nearly all copies of one text is learned all the same."""
+    copies, words = "the of and ing thing other", "qu é que leçon une très".split()
+    rng = np.random.default_rng(4)
+    texts = [copies] * 600 + [" ".join(rng.choice(words, 20)) for _ in range(30)]
+    table = docs(spark, *texts, "zzzz", langs=["en"] * 600 + ["fr"] * 30 + [None])
+    model = langid.fit(table, F.lit(True), sample_docs=40)
+    assert min(model.false_rate) > 0
+    got = [r["lang_pred"] for r in langid.identify(table, model).orderBy("doc_id").collect()]
+    assert got == ["en"] * 600 + ["fr"] * 30 + ["en"]  # the last text holds nothing known
+
+
 def test_many_languages(spark):
     names = [f"l{k:03d}" for k in range(70)]
     table = docs(spark, *[" ".join([prose(5000 + k, 12)] * 4) for k in range(70)], langs=names)

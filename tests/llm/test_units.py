@@ -225,6 +225,26 @@ def test_min_and_max_estimate_similarity():
     assert (one[0::2] == one[1::2]).all()
 
 
+def test_filter_decides_as_plain_sets_do():
+    rng = np.random.default_rng(8)
+    letters = {"x": "abcde", "y": "defgh", "z": "ghiab"}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choice(list(letters[lang]), rng.integers(2, 7))) for _ in range(n))
+
+    def grams(t):
+        padded = (" " + t + "   ").encode()
+        return [int.from_bytes(padded[k : k + 4], "little") for k in range(len(padded) - 3) if padded[k + 1] != 32]
+
+    known = {lang: set(grams(text(lang, 300))) for lang in letters}
+    model = langid.BitmaskFilter(list(known), {k: np.array(sorted(v)) for k, v in known.items()})
+    texts = [text(lang, n) for lang in letters for n in (1, 3, 30, 300)]
+    best, score = model.judge(pa.array(texts))
+    for t, b, s in zip(texts, best, score):
+        hits = [sum(g in known[k] for g in grams(t)) for k in known]
+        assert hits[b] >= max(hits) - 0.02 * len(grams(t)) and abs(s - hits[b] / max(1, sum(hits))) < 0.05
+
+
 def test_bitmask_filter_answers_all_languages():
     grams = {"x": np.arange(0, 500), "y": np.arange(400, 900)}
     made = langid.BitmaskFilter(["x", "y"], grams)

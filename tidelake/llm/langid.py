@@ -59,8 +59,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class BitmaskFilter:
     """``languages`` and the slots; picklable."""
 
-    def __init__(self, languages: list[str], grams: dict[str, np.ndarray]):
-        self.languages = languages
+    def __init__(self, languages: list[str], grams: dict[str, np.ndarray], common: int = 0):
+        self.languages, self.common = languages, common  # the index of the language to name where nothing speaks for any
         self.slots = np.zeros((max(1, -(-len(languages) // WORD_LANGUAGES)), SLOTS), np.uint64)
         self.false_rate = []
         for k, lang in enumerate(languages):
@@ -88,25 +88,26 @@ class BitmaskFilter:
                     masks = self.languages_of(grams, word)
                 seen = np.concatenate([[0], np.cumsum((masks >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
                 hits[k] = np.maximum((seen[ends[1:]] - seen[ends[:-1]] - fp * total) / max(1e-9, 1 - fp), 0)
-            j = hits.argmax(0)
+            j = np.where(hits.max(0) > 0, hits.argmax(0), self.common)
             best[i : i + len(j)] = j
             score[i : i + len(j)] = hits.max(0) / np.maximum(hits.sum(0), 1e-9)
         return best, np.clip(score, 0, 1)
 
 
-def fit(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, top_grams: int = TOP_GRAMS) -> BitmaskFilter:
+def fit(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, top_grams: int = TOP_GRAMS) -> BitmaskFilter:
     """The filter from the rows where ``training`` holds and text and language are there.
 
-    Learns every language, from about ``sample_docs`` whole documents of each, chosen by a hash of the text. A language contains an n-gram if the n-gram is one of its ``top_grams`` most frequent, occurs three
+    Learns every language, from about ``sample_docs`` whole documents of each, chosen row by row by a hash of the id, so that copies of
+    one text are no more and no less likely than other rows (null ids share one hash). A language contains an n-gram if the n-gram is one of its ``top_grams`` most frequent, occurs three
     times or more, and at least a quarter as often as in the language where it is most frequent."""
-    rows = docs.where(training & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.where(training & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return BitmaskFilter([], {})
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, sample_docs / sizes[lang])])
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < 1_000_000 * F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
-    counts = chosen.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n >= 3")
+    chosen = rows.where(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1_000_000)) < 1_000_000 * F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
+    counts = chosen.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n >= 3")
     table = counts.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "gram")), asc=False), 1, top_grams).alias("top")).toArrow()
     top = table["top"].combine_chunks()  # at most top_grams rows a language
     flat = top.flatten()
@@ -117,14 +118,14 @@ def fit(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str
     most = np.zeros(len(grams))
     np.maximum.at(most, place, rate)
     own = rate >= 0.25 * most[place]
-    return BitmaskFilter(languages, {lang: grams[own & (of == k)] for k, lang in enumerate(table["lang"].to_pylist())})
+    return BitmaskFilter(languages, {lang: grams[own & (of == k)] for k, lang in enumerate(table["lang"].to_pylist())}, languages.index(max(languages, key=sizes.get)))
 
 
 def identify(docs: DataFrame, model: BitmaskFilter, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """``docs`` with the predicted language and a score in [0, 1]; columns of these names are replaced.
 
     ``und`` with score 0 if the text is null or has no letter, or nothing was learned. A text with letters but no known
-    n-gram gets the first language by name and score 0. Rows stay as they are, repeats included."""
+    n-gram gets the language with most training rows and score 0. Rows stay as they are, repeats included."""
     docs = docs.drop(pred_col, score_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS bitmasks, whatever the input
     at = docs.columns.index(text_col)
