@@ -309,15 +309,17 @@ def test_top_k(spark):
     vectors += [(90, None, "x"), (91, [1.0, None], "x"), (92, [float("nan")] * 5, "x"), (93, [float("inf")] * 5, "x"), (None, [1.0] * 5, "x"), (80, vectors[0][1], "x"), (100, [1.0, 2.0], "x"), (101, [2.0, 2.0], "x"), (120, [], "x")]
     frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, id string")
     table = quantised(frame)
-    got = collections.defaultdict(list)
-    for r in top_k(table.where("id % 20 = 0"), table, 7, shard=16, block=4).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    kept = {}
+    good = []
     for i, v, _ in vectors:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            q = [int(np.floor(64 * x)) for x in v]
-            kept[i] = min(kept.get(i, q), q)
-    for i in [k for k in kept if k % 20 == 0]:
-        want = sorted((-sum(a * b for a, b in zip(kept[i], v)), j) for j, v in kept.items() if j != i and len(v) == len(kept[i]))[:7]
-        assert got[i] == [(j, -s) for s, j in want]
+            good.append((i, [int(np.floor(64 * x)) for x in v]))
+    want = collections.defaultdict(list)
+    for i, q in good:
+        if i % 20 == 0:
+            want[i] += [(-sum(a * b for a, b in zip(q, v)), j) for j, v in good if j != i and len(v) == len(q)]
+    for shard in (4, 16, 1000):
+        got = collections.defaultdict(list)
+        for r in top_k(table.where("id % 20 = 0"), table, 7, shard=shard, leaf=2).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((-int(r["score"]), r["vec_id"]))
+        assert got == {i: sorted(x)[:7] for i, x in want.items() if x}
     assert top_k(table.limit(0), table).count() == 0 and top_k(table, table.limit(0)).count() == 0

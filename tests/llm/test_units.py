@@ -202,16 +202,49 @@ def test_dual_tree_is_exact(seed, n, k, leaf):
     rows = np.flatnonzero(ids % 3 == 0)
     if not len(rows):
         return
-    got_ids, got, there = topk.search(ids[rows], x[rows], ids, x, k, leaf)
-    for q, a, b, t in zip(rows, got_ids, got, there):
+    tq, tr = topk.CoverTree(ids[rows], x[rows], leaf), topk.CoverTree.load(topk.CoverTree(ids, x, leaf).dump())
+    best = topk.Best(len(rows), k)
+    topk.search(tq, tr, best)
+    for r in range(len(rows)):
+        q = int(np.flatnonzero(ids == tq.ids[r])[0])
         want = sorted(((-int(x[q] @ x[j]), int(ids[j])) for j in range(n) if ids[j] != ids[q]))[:k]
-        assert [(-int(s), int(i)) for i, s, ok in zip(a, b, t) if ok] == want
+        assert [(-int(s), int(i)) for s, i in zip(best.score[best.row == r], best.id[best.row == r])] == want
+
+
+def _nodes_cover(tree):
+    for k in range(len(tree.row)):
+        x = tree.points[tree.start[k] : tree.stop[k]].astype(float)
+        assert np.sqrt(((x - tree.centre[k]) ** 2).sum(1)).max() <= tree.radius[k] + 1e-9
+        for a in tree.children[k]:
+            assert tree.radius[a] <= tree.radius[k] / 2 + 1e-9 and tree.start[k] <= tree.start[a] < tree.stop[a] <= tree.stop[k]
+
+
+def test_search_prunes_clusters():
+    rng = np.random.default_rng(6)
+    centres = rng.integers(-3000, 3000, (40, 16))
+    x = np.repeat(centres, 50, axis=0) + rng.integers(-20, 21, (2000, 16))
+    ids = np.arange(2000)
+    tree, queries = topk.CoverTree(ids, x), topk.CoverTree(ids[::20], x[::20])
+    _nodes_cover(tree)
+    assert len(tree.row) > 40 and max(len(c) for c in tree.children) > 1
+    best = topk.Best(100, 10)
+    scored, bounded = topk.search(queries, tree, best)
+    assert scored + bounded < 0.25 * 100 * 2000
+    again = topk.Best(100, 10)
+    again.floor = best.floor.copy()  # as a later round starts
+    later, _ = topk.search(queries, tree, again)
+    assert later <= scored and np.array_equal(np.sort(again.id), np.sort(best.id))
 
 
 def test_large_components_stay_exact():
-    big = np.array([[2**40, 1], [2**40, 2]])
-    assert topk._products(big, big).tolist() == [[2**63 - 1, 2**63 - 1]] * 2
-    assert topk._products(big[:, 1:] * 2**30, big[:, 1:] * 2**30)[1, 1] == 4 * 2**60
+    """Scores beyond 64 bits, and such that differ in the last digit only."""
+    big = np.array([[2**45, 1, 0], [2**45, 2, 0], [2**45, 2, 1], [2**31, 0, 5], [-(2**45), 7, 0]], np.int64)
+    tree, best = topk.CoverTree(np.arange(5), big), topk.Best(5, 4)
+    topk.search(tree, tree, best)
+    for r in range(5):
+        q = tree.ids[r]
+        want = sorted((-sum(int(a) * int(b) for a, b in zip(big[q], big[j])), j) for j in range(5) if j != q)
+        assert [(-int(s), int(i)) for s, i in zip(best.score[best.row == r], best.id[best.row == r])] == want
 
 
 def test_min_and_max_estimate_similarity():

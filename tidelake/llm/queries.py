@@ -20,7 +20,7 @@ from tidelake.llm.topk import quantised, top_k
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = quantised(read_table(spark, sf_dir, "embeddings"))
-    return top_k(vectors.where("id % 20 = 0"), vectors)
+    return top_k(vectors.where("id % 20 = 0"), vectors).withColumn("score", F.col("score").cast("long"))
 
 
 OP1_SQL = """
