@@ -1,6 +1,6 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
-Each step is one aggregation (the least neighbour of each node) and one join that Spark can split on skew;
+Each step is one aggregation (the least neighbour of each node) and one salted join;
 each result is a table in the shared folder, so lineage stays short and nothing is collected.
 """
 
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tidelake.llm.common import Stage
 
+SALTS = 16
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """``edges`` has u > v. Large star: neighbours above a node move to its least neighbour; small star: those below."""
@@ -19,7 +21,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    linked = both.join(least, "u")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))  # a node may have a third of all links
+    linked = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).join(least.withColumn("salt", salts), ["u", "salt"])
     if large:
         moved = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

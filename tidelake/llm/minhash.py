@@ -5,8 +5,9 @@ greatest value of each: two signature values for one hash evaluation. Bands of t
 equal sets are one class, and only classes go on. Links are confirmed on full sets, word by word, in three steps:
 
 1. Every class meets the least class of its buckets, once. Confirmed links make the first groups.
-2. In a bucket whose classes are still in several groups, those outside of its largest group meet all others, in blocks of
-   bounded size, each pair of blocks being one unit of work. Pairs within a group are linked already, so no link is lost.
+2. Groups that still share a bucket make a cluster. Its classes in such buckets that are outside of its largest group meet
+   all others, in blocks of bounded size, each pair of blocks being one unit of work; pairs that share no bucket aren't
+   compared. Pairs within a group are linked already, so no link is lost.
 3. The links of step 2 join groups.
 """
 
@@ -92,7 +93,7 @@ def _links(n: int, percent: int):
     """Confirmed links within the units, which come sorted: side 0 against side 1, or side 0 within itself if it is alone. At most
     a spanning forest of each unit's links, and none between rows of one group."""
 
-    def links_of(nodes: list, groups: list, texts: list, sides: list) -> list[tuple]:
+    def links_of(nodes: list, groups: list, texts: list, sides: list, keys: list) -> list[tuple]:
         order = sorted(range(len(nodes)), key=lambda i: sides[i])
         cut = sides.count(0)
         two = cut < len(nodes)
@@ -106,23 +107,33 @@ def _links(n: int, percent: int):
         sizes = np.bincount(of, minlength=len(nodes))
         at = np.concatenate([[0], np.cumsum(sizes)])
         root = np.unique(np.array(groups), return_inverse=True)[1]  # of each row, kept flat
+        members: dict[int, list[int]] = {}  # rows by bucket
+        for i, k in enumerate(order):
+            for key in keys[k] or ():
+                members.setdefault(key, []).append(i)
         out, mark = [], np.zeros(int(flat.max()) + 1, np.int32)
         for i in range(cut if two else len(nodes) - 1):
             j0 = cut if two else i + 1
-            if (root[j0:] == root[i]).all():
+            own = keys[order[i]]
+            near = np.arange(j0, len(nodes)) if own is None else np.unique(np.array([j for key in own for j in members[key] if j >= j0], np.int64))
+            near = near[root[near] != root[i]]
+            if not len(near):
                 continue
             mine = flat[at[i] : at[i + 1]]
             mark[mine] = 1
-            both = np.add.reduceat(mark[flat[at[j0] :]], at[j0:-1] - at[j0])
+            size = sizes[near]
+            starts = np.cumsum(size) - size
+            theirs = np.repeat(at[near] - starts, size) + np.arange(int(size.sum()))
+            both = np.add.reduceat(mark[flat[theirs]], starts)
             mark[mine] = 0
-            for j in (np.flatnonzero(100 * both >= percent * (sizes[i] + sizes[j0:] - both)) + j0).tolist():
+            for j in near[100 * both >= percent * (sizes[i] + size - both)].tolist():
                 if root[i] != root[j]:
                     root[root == root[j]] = root[i]
                     out.append((nodes[i], nodes[j]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, rows = None, ([], [], [], [])
+        unit, rows = None, ([], [], [], [], [])
 
         def result() -> pa.RecordBatch:
             found = links_of(*rows)
@@ -132,7 +143,7 @@ def _links(n: int, percent: int):
 
         for batch in batches:
             units = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
-            for u, *row in zip(units, *(batch.column(k).to_pylist() for k in range(4, 8)), strict=True):
+            for u, *row in zip(units, *(batch.column(k).to_pylist() for k in range(4, 9)), strict=True):
                 if u != unit and rows[0]:
                     yield result()
                 unit = u
@@ -148,8 +159,8 @@ _UNIT = ["u1", "u2", "u3", "u4"]
 
 
 def _confirmed(units: DataFrame, texts: DataFrame, shingle: int, percent: int, label: str) -> DataFrame:
-    """``units``: the four parts of a unit's name, node, group and side. Returns (a, b)."""
-    rows = units.join(texts, "node").select(*_UNIT, "node", "group", "text", "side")
+    """``units``: the four parts of a unit's name, node, group, side and keys (null: meets all). Returns (a, b)."""
+    rows = units.join(texts, "node").select(*_UNIT, "node", "group", "text", "side", "keys")
     rows = rows.repartition(*_UNIT).sortWithinPartitions(*_UNIT)
     return Stage(rows.mapInArrow(_links(shingle, percent), "a long, b long"), label).read()
 
@@ -167,23 +178,26 @@ def _joined(groups: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _second_units(buckets: DataFrame, groups: DataFrame, block_docs: int) -> DataFrame:
-    """Units of step 2 from (key, node) of buckets with several classes: blocks of the bucket's lesser groups against each other and
-    against blocks of its largest group. Buckets with the same members are looked at once."""
-    named = buckets.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    counts = named.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"))
-    open_ = counts.groupBy("key").agg(
-        F.max(F.struct("n", "group")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"), F.sum("members").alias("members")
-    ).where("groups > 1")
-    once = open_.groupBy("n", "groups", "members").agg(F.min(F.struct("key", "top")).alias("b"))
-    once = once.select("b.key", F.col("b.top.group").alias("top"), F.ceil(F.col("b.top.n") / block_docs).cast("int").alias("major"), F.ceil((F.col("n") - F.col("b.top.n")) / block_docs).cast("int").alias("minor"))
-    dealt = named.join(once, "key").withColumn("is_top", F.col("group") == F.col("top"))
+    """Units of step 2 from (key, node) of buckets with several classes. Groups that share a bucket make a cluster; blocks of the
+    cluster's lesser groups meet each other and blocks of its largest group. ``keys`` are a class's open buckets."""
+    named = Stage(buckets.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node")), "named").read()
+    ends = named.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("key", "least")
+    open_ = Stage(named.join(ends, "key"), "open").read()
+    clusters = components(open_.where("group <> least").select("group", "least").distinct(), "group", "least", "clusters").select(F.col("node").alias("group"), F.col("component").alias("cluster"))
+    clusters = Stage(clusters, "cluster-of-group").read()
+    keyed = open_.groupBy("node", "group").agg(F.collect_list("key").alias("keys"))  # at most one a band
+    sizes = keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).join(clusters, "group").groupBy("cluster").agg(F.max(F.struct("n", "group")).alias("top"), F.sum("n").alias("n"))
+    sizes = sizes.select("cluster", F.col("top.group").alias("top"), F.ceil(F.col("top.n") / block_docs).cast("int").alias("major"), F.ceil((F.col("n") - F.col("top.n")) / block_docs).cast("int").alias("minor"))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    shapes = clusters.join(sizes, "cluster").withColumn("salt", salts)
+    dealt = keyed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).join(shapes, ["group", "salt"]).withColumn("is_top", F.col("group") == F.col("top"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.when(F.col("is_top"), F.col("major")).otherwise(F.col("minor"))).cast("int"))
     # (kind, block, block, side); kind 0: within the lesser groups, 1: with the largest group
     with_minor = F.transform(F.sequence(F.lit(0), F.col("minor") - 1), lambda o: F.struct(F.lit(0).alias("u2"), F.least("own", o).alias("u3"), F.greatest("own", o).alias("u4"), (F.col("own") > o).cast("int").alias("side")))
     with_major = F.transform(F.sequence(F.lit(0), F.col("major") - 1), lambda o: F.struct(F.lit(1).alias("u2"), F.col("own").alias("u3"), o.alias("u4"), F.lit(0).alias("side")))
     of_major = F.transform(F.sequence(F.lit(0), F.col("minor") - 1), lambda o: F.struct(F.lit(1).alias("u2"), o.alias("u3"), F.col("own").alias("u4"), F.lit(1).alias("side")))
     parts = F.when(F.col("is_top"), of_major).otherwise(F.concat(with_minor, with_major))
-    return dealt.select(F.col("key").alias("u1"), "node", "group", F.explode(parts).alias("p")).select("u1", "p.u2", "p.u3", "p.u4", "node", "group", "p.side")
+    return dealt.select(F.col("cluster").alias("u1"), "node", "group", "keys", F.explode(parts).alias("p")).select("u1", "p.u2", "p.u3", "p.u4", "node", "group", "p.side", "keys")
 
 
 def near_duplicates(
@@ -217,7 +231,7 @@ def near_duplicates(
     points = stars.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).join(spread, ["hub", "salt"]).withColumn("u4", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     points = points.select(*unit, "node", F.col("node").alias("group"), F.lit(1).alias("side"))
     centres = sizes.withColumn("u4", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*unit, F.col("hub").alias("node"), F.col("hub").alias("group"), F.lit(0).alias("side"))
-    tree = _confirmed(points.unionAll(centres), texts.read(), shingle, percent, "star-links")  # a: centre, b: point
+    tree = _confirmed(points.unionAll(centres).withColumn("keys", F.lit(None).cast("array<bigint>")), texts.read(), shingle, percent, "star-links")  # a: centre, b: point
 
     centres = tree.select("a").distinct()
     first = tree.select(F.col("b").alias("node"), F.col("a").alias("group")).unionAll(centres.select(F.col("a").alias("node"), F.col("a").alias("group")))

@@ -75,7 +75,7 @@ class CoverTree:
         """Rows by the first point of a greedy net within ``reach``; None if the net is mostly single rows."""
         left, groups = np.arange(len(x)), []
         while len(left):
-            if 4 * len(groups) > len(x):
+            if 2 * len(groups) > len(x):
                 return None
             near = away <= reach
             groups.append(left[near])
