@@ -82,6 +82,41 @@ def test_recording_stream_is_exactly_once(spark, tmp_path):
         assert sorted(r["ts"] - T for r in tree.read_hot(spark, store).collect()) == [0, 1, 2, 10, 11, 12]
 
 
+def test_recording_stream_remembers(spark, tmp_path):
+    """Three micro-batches give the rows of one batch, with caps, a rate and names in force."""
+    items = [
+        ("p.1", 1, "a", 0), ("", {"name": "Ann"}, "a", 0), ("p.2", 1, "b", 10), ("p.1", 2, "a", 500),
+        ("p.3", 1, "a", 600), ("p.1", 3, "c", 700), ("p.1", 4, "a", 1999), ("", {"name": "Ann"}, "a", 2000), ("", {"name": "Eve"}, "c", 2100),
+        ("p.1", 5, "a", 2000), ("p.2", 2, "b", 2011), ("", {"name": "Bob"}, "a", 2300), ("p.2", 3, "a", 2400), ("p.1", 6, "a", 100),
+    ]
+    lines = [{"path": p, "value": json.dumps(v), "context": c, "source": None, "is_meta": False, "recv_ts": T + t, "seq": k} for k, (p, v, c, t) in enumerate(items)]
+    config = Config(record_others=True, default_rate_ms=2000, max_contexts=2, max_paths=2)
+    source, store = tmp_path / "in", Store(spark, f"file://{tmp_path}/data")
+    source.mkdir()
+    for n, (a, b) in enumerate(((0, 4), (4, 9), (9, 14))):
+        (source / f"{n}.json").write_text("\n".join(map(json.dumps, lines[a:b])))
+        os.utime(source / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+    stream.record_stream(stream.read_bus(spark, str(source), 1), store, config, "me", str(tmp_path / "cp")).awaitTermination()
+    shown = ["ts", "context", "path", "value_num", "value_str"]
+    got = sorted(map(tuple, tree.read_hot(spark, store).select(*shown).collect()), key=str)
+    once = spark.createDataFrame([tuple(x.values()) for x in lines], "path string, value string, context string, source string, is_meta boolean, recv_ts long, seq long")
+    assert got == sorted(map(tuple, ingest.record(once, config, "me").select(*shown).collect()), key=str)
+    assert len([r for r in got if r[2] == "p.1"]) == 3 and {r[1] for r in got} == {"a", "b"} and [r[4] for r in got if r[2] == "name"] == ["Ann", "Bob"]
+    assert store.names("state") == ["batch=000000000001", "batch=000000000002"]
+
+
+def test_rename_replaces_files_and_folders(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    for text in ("one", "two"):
+        store.write_text(text, "x")
+        assert store.read_text("x") == text and store.names() == ["x"]
+    for n in (1, 2):
+        spark.range(n).write.parquet(store.at(f"new{n}"))
+        store.rename(f"new{n}", "table")
+        assert spark.read.parquet(store.at("table")).count() == n
+    assert store.names() == ["table", "x"]
+
+
 def test_stateful_throttle(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()

@@ -14,7 +14,8 @@ class Store:
         self.root = root.rstrip("/")
         self._jvm = spark.sparkContext._jvm
         path = self._jvm.org.apache.hadoop.fs.Path(self.root)
-        self._fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._gateway, self._conf = spark.sparkContext._gateway, spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = path.getFileSystem(self._conf)
 
     def at(self, *parts: str) -> str:
         """VAL-8: a path that stays below the root."""
@@ -43,13 +44,37 @@ class Store:
         return self._fs.delete(self._path(*parts), True)
 
     def rename(self, source: str, target: str) -> None:
-        """SNK-8's last step: the new name appears at once; an existing file of that name is replaced."""
-        destination = self._path(target)
+        """SNK-8's last step: the new name appears at once. An existing file is replaced in one step where the file system can do
+        that (``FileContext``); an existing folder, or a file of one that can't, is first moved aside and put back if the new one
+        can't take its place, so that its rows are never only in memory."""
+        destination, origin = self._path(target), self._path(source)
         self._fs.mkdirs(destination.getParent())
-        if self._fs.exists(destination):
-            self._fs.delete(destination, True)
-        if not self._fs.rename(self._path(source), destination):
+        if not self._fs.exists(destination):
+            if not self._fs.rename(origin, destination):
+                raise OSError(f"could not rename {source} to {target}")
+            return
+        if not self._fs.getFileStatus(destination).isDirectory() and not self._fs.getFileStatus(origin).isDirectory():
+            try:
+                self._replace(origin, destination)
+                return
+            except Exception as reason:  # py4j wraps whatever the file system says
+                if "UnsupportedFileSystem" not in str(reason) and "not supported" not in str(reason):
+                    raise OSError(f"could not rename {source} to {target}") from reason
+        aside = destination.suffix(".old.tmp")
+        self._fs.delete(aside, True)
+        if not self._fs.rename(destination, aside):
+            raise OSError(f"could not move {target} aside")
+        if not self._fs.rename(origin, destination):
+            self._fs.rename(aside, destination)
             raise OSError(f"could not rename {source} to {target}")
+        self._fs.delete(aside, True)
+
+    def _replace(self, origin, destination) -> None:
+        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
+        options = self._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+        context.rename(origin, destination, options)
 
     def write_text(self, text: str, *parts: str) -> None:
         """Written aside, then renamed."""

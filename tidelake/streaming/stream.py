@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidelake.plans.config import Config
 from tidelake.sinks.roll import append_batch
 from tidelake.sources.files import Store
-from tidelake.streaming.ingest import BUS, record
+from tidelake.streaming.ingest import BUS, STATE, record_on
 
 
 def read_bus(spark: SparkSession, folder: str, files_per_batch: int = 16) -> DataFrame:
@@ -22,10 +22,26 @@ def read_bus(spark: SparkSession, folder: str, files_per_batch: int = 16) -> Dat
 
 def record_stream(bus: DataFrame, store: Store, config: Config, self_context: str, checkpoint: str, trigger: dict | None = None):
     """SNK-1, STR-10: each micro-batch goes through the chain and into ``hot/batch=<id>`` once; offsets and batch ids come from the
-    checkpoint, so a batch that is run again after a crash is skipped. Late rows are never dropped."""
+    checkpoint, so a batch that is run again after a crash is skipped. Late rows are never dropped.
+
+    STR-4, STR-6, STR-7: slots, last kept times and names go from batch to batch by tables ``state/batch=<id>``. A batch reads the
+    newest one before its own and writes its own before its rows, so that it can be run again at any point."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_batch(store, record(batch, config, self_context).drop("rowid"), batch_id)
+        spark = batch.sparkSession
+        before = [n for n in store.names("state") if n.startswith("batch=") and int(n[6:]) < batch_id]
+        state = spark.read.schema(STATE).parquet(store.at("state", before[-1])) if before else None
+        batch = batch.persist()
+        try:
+            samples, after = record_on(batch, config, self_context, state)
+            name = f"batch={batch_id:012d}"
+            after.write.mode("overwrite").parquet(store.at("state", f"_{name}"))
+            store.rename(f"state/_{name}", f"state/{name}")
+            append_batch(store, samples.drop("rowid"), batch_id)
+        finally:
+            batch.unpersist()
+        for old in before[:-1]:
+            store.delete("state", old)
 
     return bus.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
