@@ -196,3 +196,24 @@ def test_storage_over_the_whole_table(spark):
     assert QUERIES["sidecar_fold_whole"](spark, sf_dir).count() == keys == QUERIES["snapshot_tiers_whole"](spark, sf_dir).count()
     left = adapters.samples(spark, sf_dir).where("rowid % 3 <> 0").select(*COLUMNS)
     assert QUERIES["except_all_missing_whole"](spark, sf_dir).count() == whole.count() - left.count()
+
+
+def test_stored_samples_answer_as_generated_ones(spark, tmp_path):
+    from tidelake.queries import QUERIES
+    from tidelake.sources import adapters
+
+    events = spark.range(400).selectExpr("id as event_id", "timestamp_millis(1704240000000 + id * 3600000) as ts", "id % 20 as user_id", "'view' as event_type", "cast(id as double) as value", "'{\"k\": 1}' as props")
+    events.write.parquet(str(tmp_path / "sf" / "events.parquet"))
+    sf_dir, names = str(tmp_path / "sf"), ("range_paths", "snapshot_now", "snapshot_past", "bucket_average", "list_paths")
+
+    def answers():
+        return {n: sorted(map(str, QUERIES[n](spark, sf_dir).collect())) for n in names}
+
+    made = answers()
+    adapters.store(spark, sf_dir, f"file://{tmp_path}/kept")
+    try:
+        assert answers() == made and all(made.values())
+        plan = QUERIES["range_paths"](spark, sf_dir)._jdf.queryExecution().toString()
+        assert "PartitionFilters: [isnotnull(date" in plan and "In(path" in plan
+    finally:
+        adapters._stored.clear()

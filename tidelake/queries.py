@@ -420,7 +420,7 @@ def _newest(where: str, table: str = "sample") -> str:
 
 @registered("snapshot_now", query(f"SELECT {ALL} FROM newest", _newest("true")))
 def snapshot_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot.snapshot(adapters.samples(spark, sf_dir), 2**62).select(*COLUMNS)
+    return adapters.newest_values(spark, sf_dir)
 
 
 @registered("snapshot_past", query(f"SELECT {ALL} FROM newest", _newest(f"ts <= {AT}")))

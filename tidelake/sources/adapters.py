@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidelake.model import COLUMNS
+from tidelake.functions.instants import day_of
+from tidelake.model import COLUMNS, HOT, SAMPLE
+from tidelake.operators.snapshot import newest
+
+STORED = T.StructType([*HOT.fields, T.StructField("date", T.StringType())])
 
 _ROW = "named_struct('path', {0}, 'value_kind', '{1}', 'value_num', {2}, 'value_str', {3}, 'value_lat', {4}, 'value_lon', {5}, 'k', {6})"
 _NUM, _STR = "cast(null as double)", "cast(null as string)"
@@ -22,10 +27,30 @@ _ROWS = [
 ]
 
 
+_stored: dict[str, str] = {}
+
+
+def store(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The sample rows as a merged tree (a folder a day, sorted by path and time, so that Parquet prunes by both) and the table of
+    newest values; later calls of ``samples`` and ``newest_values`` in this process read them."""
+    made = samples(spark, sf_dir).withColumn("date", day_of(F.col("ts")))
+    made.repartition("date").sortWithinPartitions("path", "ts").write.mode("overwrite").partitionBy("date").parquet(f"{folder}/tree")
+    newest(spark.read.schema(STORED).parquet(f"{folder}/tree")).select(*COLUMNS).coalesce(1).write.mode("overwrite").parquet(f"{folder}/latest")
+    _stored[sf_dir.rstrip("/")] = folder
+
+
+def newest_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state now: the stored table of newest values, else the newest of all rows."""
+    folder = _stored.get(sf_dir.rstrip("/"))
+    return newest(samples(spark, sf_dir)).select(*COLUMNS) if folder is None else spark.read.schema(SAMPLE).parquet(f"{folder}/latest")
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven rows an event, a mixed number-or-text row, an object that a scalar shadows, and one name row a user; (ts, source,
     rowid) orders them totally."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if sf_dir.rstrip("/") in _stored:
+        return spark.read.schema(STORED).parquet(f"{_stored[sf_dir.rstrip('/')]}/tree")
     events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value", "props")
     base = events.selectExpr(
         "event_id", "user_id", "event_type", "value", "cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as n",
