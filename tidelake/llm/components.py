@@ -38,7 +38,10 @@ def components(links: DataFrame, a: str, b: str, label: str = "cc") -> DataFrame
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}").distinct()
     table = Stage(edges, label)
     state = None
-    while True:
+    again = table.read().groupBy("u").count().where("count > 1").select("u")
+    chained = table.read().join(table.read().select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")
+    open_ = again.unionAll(chained).take(1)  # if there is none, each link is a star's point and its least node already
+    while open_:
         larger = Stage(_star(table.read(), True), label)
         smaller = Stage(_star(larger.read(), False), label)
         now = smaller.read().agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
