@@ -315,8 +315,11 @@ class _Reader:
         self.zero, self.sums1, self.a1, self.b1, self.total1, self.first = model.zero, model.sums1, model.a1, model.b1, model.total1, first
         c, x = key >> ID_BITS, key & ((1 << ID_BITS) - 1)
         start, width, own = model.one(c, x, model.sums1[:-1] - model.base1[c], model.n1)
-        self.key, self.start1, self.end1 = (c << KEY_SHIFT) | start, start, start + width
-        self.width1, self.own1, self.id1 = width, own, x
+        self.key = (c << KEY_SHIFT) | start
+        # order 1, by the pair: id, begin and end of its interval, the part that the counts give; one row is one line of cache
+        self.pairs = np.zeros((len(key) + 1, 4), I)
+        for k, v in enumerate((x, start, start + width, own)):
+            self.pairs[:-1, k] = v
         # order 2, by the pair before: multiple of the total, order 1's factor, the guess's own part, begin and end of its interval, its pair
         state = guesses.states()
         there = np.flatnonzero(state >= 0)
@@ -345,13 +348,12 @@ class _Reader:
         pair = guess
         q = np.searchsorted(self.key, (cl << KEY_SHIFT) | ul, side="right")
         if self.none:
-            before = np.maximum(q - 1, 0)
-            found = (q > self.first[cl]) & (ul < self.end1[before])
-            pair[left] = np.where(found, before, self.none)
-            miss = np.flatnonzero(~found)
+            pair[left] = np.maximum(q - 1, 0)
+            x, start, end1, own = np.ascontiguousarray(self.pairs.take(pair, axis=0).T)
+            miss = np.flatnonzero((q <= self.first[cl]) | (ul >= end1[left]))
             new, cn, un, q = left[miss], cl[miss], ul[miss], q[miss]
-            pair0 = np.where(pair < self.none, pair, 0)
-            x, start, width, own = self.id1[pair0], self.start1[pair0], self.width1[pair0], self.own1[pair0]
+            pair[new] = self.none
+            width = end1 - start
         else:
             new, cn, un = left, cl, ul
             pair = np.zeros(len(c), I)

@@ -7,7 +7,9 @@ no partial file. Reading needs the file alone: blocks decode independently, and
 combined from its pieces'.
 
 Every distinct word of a worker's recent texts, compared byte by byte, goes through the tokenizer once: the vocabulary's pre-tokenizer never joins
-what white space parts, so a text's ids are those of its words in order.
+what white space parts, so a text's ids are those of its words in order. A word of Latin letters alone is one piece to the pre-tokenizer, so it goes to the
+library's BPE model directly, spelt as the byte-level alphabet spells it; all other words take the whole way. A few such words are tried both ways first,
+and a vocabulary that treats them otherwise gets the whole way only.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +33,7 @@ from tidelake.llm.mixcoder import decode_block, encode_block
 from tidelake.llm.words import batches_of, distinct_words, word_bounds
 
 BLOCK_IDS = 1 << 21
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 16 << 20
 END_ID = 1
 FILE = "part int, block int, doc_ids array<bigint>, counts array<bigint>, first_open boolean, last_open boolean, payload binary"
 
@@ -40,6 +43,12 @@ FILE = "part int, block int, doc_ids array<bigint>, counts array<bigint>, first_
 _KIND = np.array([1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 if 32 < b < 127 and chr(b) not in "'<|>" else 0 for b in range(128)] + [0] * 128, np.uint8)
 _APART = np.array([a > 0 and b > 0 and (a != b or a == 2) for a in range(4) for b in range(4)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+# Latin letters of one or two bytes that no normal form changes; byte-level vocabularies write bytes 33-126, 161-172 and 174-255 as
+# the characters of those numbers and the rest, in order, as the characters from 256 on.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SPELT = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+_TRIAL = ["a", "theory", "zzxqj", "\u00e9t\u00e9", "\u00d1and\u00da", "\u00df\u00fe\u00ff\u00c0\u00d6\u00d8\u00f6\u00f8", "pneumonoultramicroscopic"]
 
 
 class WordTokenizer:
@@ -53,6 +62,28 @@ class WordTokenizer:
         self.known = pa.array([], pa.binary())
         self.at, self.n, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
+        self.direct = False
+        self.direct = self._encoded(_TRIAL) == [self._piece(w) for w in _TRIAL]
+
+    def _piece(self, word: str) -> list[int]:
+        """Ids of one word of Latin letters."""
+        return [t.id for t in self.tokenizer.model.tokenize(word.lower().encode().decode("latin-1").translate(_SPELT))]
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        out: list = [None] * len(texts)
+        if self.direct:
+            model, latin = self.tokenizer.model, _LATIN.fullmatch
+            for k, word in enumerate(texts):
+                if latin(word):
+                    spelt = word.lower() if word.isascii() else word.lower().encode().decode("latin-1").translate(_SPELT)
+                    out[k] = [t.id for t in model.tokenize(spelt)]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        for at in range(0, len(rest), 8192):
+            some = rest[at : at + 8192]
+            for k, e in zip(some, encode([texts[k] for k in some], add_special_tokens=False), strict=True):
+                out[k] = e.ids
+        return out
 
     @staticmethod
     @functools.lru_cache(maxsize=2)
@@ -66,9 +97,7 @@ class WordTokenizer:
         return self.pool[np.repeat(self.at[place] - (total - n), n) + np.arange(int(n.sum()))]
 
     def _learn(self, words: pa.Array) -> None:
-        texts = words.cast(pa.string()).to_pylist()
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        found = [e.ids for k in range(0, len(texts), 8192) for e in encode(texts[k : k + 8192], add_special_tokens=False)]
+        found = self._encoded(words.cast(pa.string()).to_pylist())
         n = np.fromiter(map(len, found), np.int64, len(found))
         fresh = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(n.sum()))
         if len(self.n) + len(n) > self.most:  # words of several batches stay, up to half of the room
@@ -93,8 +122,14 @@ class WordTokenizer:
         words, where = distinct_words(low, starts, ends)
         place = pc.index_in(words, value_set=self.known)
         if place.null_count:
-            self._learn(words.filter(pc.is_null(place)))
-            place = pc.index_in(words, value_set=self.known)
+            before, new = len(self.n), place.is_null().to_numpy(zero_copy_only=False)
+            self._learn(words.filter(pa.array(new)))
+            if len(self.n) == before + int(new.sum()):  # all words stay, and new ones follow
+                place = place.fill_null(0).to_numpy().copy()
+                place[new] = before + np.arange(int(new.sum()))
+                place = pa.array(place)
+            else:
+                place = pc.index_in(words, value_set=self.known)
             if place.null_count:  # words of this batch had to go
                 self.known = self.known.slice(0, 0)
                 self.at, self.n, self.uses, self.pool = self.at[:0], self.n[:0], self.uses[:0], self.pool[:0]
