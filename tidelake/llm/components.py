@@ -30,6 +30,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
+def _open(edges: DataFrame) -> bool:
+    """Whether a node has two links to lesser nodes, or a chain of links is left; else each link is a star's point and its least node."""
+    again = edges.groupBy("u").count().where("count > 1").select("u")
+    chained = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")
+    return bool(again.unionAll(chained).take(1))
+
+
 def components(links: DataFrame, a: str, b: str, label: str = "cc") -> DataFrame:
     """(node, component): for every node of a link, the least node it reaches. Nulls and self-links give no row.
 
@@ -37,19 +44,11 @@ def components(links: DataFrame, a: str, b: str, label: str = "cc") -> DataFrame
     logarithm of the longest chain."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}").distinct()
     table = Stage(edges, label)
-    state = None
-    again = table.read().groupBy("u").count().where("count > 1").select("u")
-    chained = table.read().join(table.read().select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")
-    open_ = again.unionAll(chained).take(1)  # if there is none, each link is a star's point and its least node already
-    while open_:
+    while _open(table.read()):
         larger = Stage(_star(table.read(), True), label)
         smaller = Stage(_star(larger.read(), False), label)
-        now = smaller.read().agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         table.drop()
         larger.drop()
         table = smaller
-        if now == state:
-            break
-        state = now
     stars = table.read()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
