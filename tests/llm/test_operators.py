@@ -94,6 +94,18 @@ def test_near_duplicates_in_buckets_of_several_groups(spark):
         assert sorted(tuple(r) for r in near_duplicates(docs(spark, *many), block_docs=block).collect()) == brute_components(list(enumerate(many)))
 
 
+def test_components_of_random_links_are_those_of_a_union_find(spark):
+    rng = np.random.default_rng(3)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))]
+    least = {x: x for a, b in links if a != b for x in (a, b)}
+    for _ in least:
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    found = components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()
+    assert sorted(map(tuple, found)) == sorted(least.items())
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 101), (None, 3)], "x long, y long")
     found = {r["node"]: r["component"] for r in components(links, "x", "y").collect()}

@@ -284,3 +284,21 @@ def test_bitmask_filter_answers_all_languages():
     masks = made.languages_of(np.arange(0, 900))
     assert (masks[:500] & np.uint64(1)).all() and ((masks[400:] & np.uint64(2)) > 0).all()
     assert np.mean((masks[500:] & np.uint64(1)) > 0) < 0.05
+
+
+def test_words_sent_to_the_model_directly_have_the_ids_of_whole_texts():
+    import public_tokenizers
+
+    from tidelake.llm.tokenfile import WordTokenizer
+
+    tokenizer = WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    assert tokenizer.direct
+    letters = "".join(map(chr, [*range(65, 91), *range(97, 123), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))]))
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list(letters), n)) for n in rng.integers(1, 40, 400)]
+    texts = [" ".join(words[:200]), " ".join(f"{a}'s {b}12 e\u0301{a} {b}\u0301 <{a}> \u00aa\u00b5\u00d7{b}" for a, b in zip(words[200:300], words[300:], strict=True)), "x" * 5000]
+    raw = [t.encode() for t in texts]
+    ids, sizes = tokenizer.ids(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    want = [e.ids for e in tokenizer.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert sizes.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]
