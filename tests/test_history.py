@@ -211,3 +211,23 @@ def test_raw_smoothing_reads_the_whole_series(spark, tmp_path):
         assert QUERIES[name](spark, str(tmp_path)).count() == n, name
     middle = QUERIES["middle_index"](spark, str(tmp_path))
     assert middle.count() == n and middle.where("v is not null").first()["v"] == n // 2
+
+
+def tied(spark, path, n=60, at_once=6):
+    """Errors of the own entity, ``at_once`` of each time, stored in an order of their own; the values in order of time and arrival."""
+    rows = [(k, START + k // at_once * 10, float(k * 37 % 101)) for k in range(n)]
+    stored = spark.createDataFrame(sorted(rows, key=lambda r: r[0] * 17 % n), "event_id long, at long, value double")
+    stored.selectExpr("event_id", "timestamp_millis(at) as ts", "10L as user_id", "'error' as event_type", "value", "'{\"k\": 1}' as props").coalesce(1).write.parquet(str(path / "events.parquet"))
+    return [(at, v) for _, at, v in rows]
+
+
+def answer_of(spark, name, path):
+    return sorted((r["bucket"], r["v"]) for r in QUERIES[name](spark, str(path)).collect())
+
+
+def test_ema_raw_orders_rows_of_one_time_by_arrival(spark, tmp_path):
+    expected, e = [], None
+    for at, v in tied(spark, tmp_path):
+        e = v if e is None else 0.2 * v + 0.8 * e
+        expected.append((at, round(e, 6)))
+    assert answer_of(spark, "ema_raw", tmp_path) == sorted(expected)
