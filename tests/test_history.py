@@ -231,3 +231,15 @@ def test_ema_raw_orders_rows_of_one_time_by_arrival(spark, tmp_path):
         e = v if e is None else 0.2 * v + 0.8 * e
         expected.append((at, round(e, 6)))
     assert answer_of(spark, "ema_raw", tmp_path) == sorted(expected)
+
+
+def mean_of_last(line, window):
+    values = [v for _, v in line]
+    return sorted((at, round(sum(values[max(0, k + 1 - window) : k + 1]) / min(k + 1, window), 6)) for k, (at, _) in enumerate(line))
+
+
+def test_sma_raw_and_middle_index_order_rows_of_one_time_by_arrival(spark, tmp_path):
+    line = tied(spark, tmp_path)
+    assert answer_of(spark, "sma_raw", tmp_path) == mean_of_last(line, 5)
+    middle = QUERIES["middle_index"](spark, str(tmp_path)).where("v is not null").collect()
+    assert [(r["bucket"], r["v"]) for r in middle] == [line[len(line) // 2]]
