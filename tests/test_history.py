@@ -243,3 +243,14 @@ def test_sma_raw_and_middle_index_order_rows_of_one_time_by_arrival(spark, tmp_p
     assert answer_of(spark, "sma_raw", tmp_path) == mean_of_last(line, 5)
     middle = QUERIES["middle_index"](spark, str(tmp_path)).where("v is not null").collect()
     assert [(r["bucket"], r["v"]) for r in middle] == [line[len(line) // 2]]
+
+
+def test_api_values_frame_has_the_times_of_its_first_series(spark, tmp_path):
+    days = RAW_SERIES_LIMIT // 100 + 5  # 100 orders a day, one of them urgent: the urgent ones go on after the limit of all
+    orders = spark.range(days * 100).selectExpr(
+        "id as o_orderkey", "'O' as o_orderstatus", "cast(id % 1000 as double) as o_totalprice", "timestamp_seconds(id div 100 * 86400) as o_orderdate", "if(id % 100 = 0, '1-URGENT', '5-LOW') as o_orderpriority"
+    )
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    found = QUERIES["api_values_frame"](spark, str(tmp_path)).collect()
+    assert [r["bucket"] for r in found] == [d * DAY_MS for d in range(days - 5)]
+    assert [r["v1"] for r in found] == [float(d * 100 % 1000) for d in range(days - 5)] and all(r["v0"] is not None for r in found)
