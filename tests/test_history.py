@@ -254,3 +254,13 @@ def test_api_values_frame_has_the_times_of_its_first_series(spark, tmp_path):
     found = QUERIES["api_values_frame"](spark, str(tmp_path)).collect()
     assert [r["bucket"] for r in found] == [d * DAY_MS for d in range(days - 5)]
     assert [r["v1"] for r in found] == [float(d * 100 % 1000) for d in range(days - 5)] and all(r["v0"] is not None for r in found)
+
+
+def test_sma_wide_counts_each_row_of_one_time_and_forgets_old_values(spark, tmp_path):
+    line = tied(spark, tmp_path, 260)
+    assert answer_of(spark, "sma_wide", tmp_path) == mean_of_last(line, 50)
+    line = [1e17, *[float(k % 7) for k in range(40)], None, 3.0]
+    series = spark.createDataFrame([(0, k, v) for k, v in enumerate(line)], "spec int, bucket long, v double")
+    got = {r["bucket"]: r["v"] for r in smoothing.sma_running(series, 4).collect()}
+    assert [got[k] for k in range(len(line))] == pytest.approx(sma_line(line, 4))
+    assert [r["v"] for r in smoothing.sma_running(series, 1).orderBy("bucket").collect()] == line
