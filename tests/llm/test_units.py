@@ -6,10 +6,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidelake.llm import decontam, langid, mixcoder, packing, tokenfile, topk, words
+from tidelake.llm import decontam, langid, mixcoder, packing, suffixdedup, tokenfile, topk, words
 from tidelake.llm.minhash import _multipliers, signature, similarity
 from tidelake.llm.suffix import suffix_batches
 
@@ -302,3 +303,22 @@ def test_words_sent_to_the_model_directly_have_the_ids_of_whole_texts():
     want = [e.ids for e in tokenizer.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert sizes.tolist() == [len(w) for w in want]
     assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_repeats_sort_only_segments_that_share_a_minimizer(monkeypatch):
+    rng = np.random.default_rng(5)
+    copy, passage = bytes(rng.integers(97, 123, 4000).astype(np.uint8)), bytes(rng.integers(97, 123, 500).astype(np.uint8))
+    rest = [bytes(rng.integers(97, 123, 3000).astype(np.uint8)) for _ in range(2)]
+    texts = [copy, rest[0] + passage, copy, passage + rest[1]]
+    sorted_bytes = []
+    monkeypatch.setattr(suffixdedup, "suffix_batches", lambda text, cap: sorted_bytes.append(len(text)) or suffix_batches(text, cap))
+    rows = []
+    for k, text in enumerate(texts):
+        row = {"pack": k, "ids": np.array([k]).tobytes(), "sizes": np.array([len(text)]).tobytes(), "data": zstandard.compress(text), "n_bytes": len(text)}
+        values, docs, first, last = suffixdedup._Pack(row["ids"], row["sizes"], row["data"]).runs(50, 20)
+        pieces = [text[a : b + 50] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        rows.append({"pack": k, "bucket": 0, "a": np.arange(len(pieces), dtype=np.int32).tobytes(), "b": np.array([len(x) for x in pieces], np.uint8).tobytes(), "c": np.full(len(pieces), k).tobytes(), "d": zstandard.compress(b"".join(pieces))})
+    verdicts = {r["pack"]: r for r in suffixdedup._judge(50, 20)(pa.Table.from_pylist(rows)).to_pylist()}
+    assert sum(sorted_bytes) < 500  # the ends of the passage; copies and what surrounds it are known without
+    counts = {k: sum(int(x).bit_count() for x in np.frombuffer(r["b"], np.uint64)) for k, r in verdicts.items()}
+    assert counts == {2: 4000 - 49, 3: 500 - 49}

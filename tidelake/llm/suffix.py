@@ -70,7 +70,7 @@ def _types(text: np.ndarray) -> np.ndarray:
     rise[:-1] = np.sign(text[1:].astype(np.int64) - text[:-1])
     rise[-1] = 1
     at = np.flatnonzero(rise)
-    return rise[at][np.searchsorted(at, np.arange(n))] > 0
+    return np.repeat(rise[at] > 0, np.diff(at, prepend=-1))  # equal neighbours have the type of what follows them
 
 
 class _Inducer:
