@@ -305,6 +305,36 @@ def test_words_sent_to_the_model_directly_have_the_ids_of_whole_texts():
     assert ids.tolist() == [i for w in want for i in w]
 
 
+def test_accented_words_are_parted_from_what_follows(vocabulary):
+    plain = pytest.importorskip("tokenizers").Tokenizer.from_file(vocabulary)
+    texts = ["\u00e9t\u00e9. \u00c9T\u00c9, (\u00e9t\u00e912) .\u00d7. \u00d7\u00e9t\u00e9 \u00e9't\u00e9 \u00e9\u0301. =\u0338\u00e9", "\u00e9t\u00e9", "\u00e9"]
+    tokenizer = tokenfile.WordTokenizer(vocabulary)
+    assert _texts_ids(tokenizer, texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    known = {w.decode() for w in tokenizer.known.to_pylist()}
+    assert {"\u00e9t\u00e9", "\u00c9t\u00c9", ".\u00d7."} <= known and not {"\u00e9t\u00e9.", "\u00c9t\u00c9,", "\u00e9t\u00e91"} & known
+
+
+def test_the_decoder_finds_keys_without_searching_them_all(monkeypatch):
+    rng = np.random.default_rng(9)
+    model, alphabet = mixcoder._Model(300), 300
+    key = np.unique((rng.integers(0, 40, 3000) << mixcoder.ID_BITS) | rng.integers(0, alphabet, 3000))  # contexts from 40 on have no ids
+    first = np.searchsorted(key >> mixcoder.ID_BITS, np.arange(alphabet + 2))
+    model.zero_counts += np.bincount(key & 0xFFFF, minlength=alphabet)
+    counts = rng.integers(1, 4, len(key))
+    counts[first[:40]] = 5000  # one id of each context has most of its interval, so the others lie close together
+    model.build(counts, first)
+    reader = mixcoder._Reader(model, key, first, mixcoder._Guesses(len(key) + 1))
+    c = rng.integers(0, 60, 20_000)
+    u = rng.integers(0, model.total1[c])
+    near = rng.integers(0, len(key), 5000)  # and the breakpoints themselves
+    c, u = np.append(c, reader.key[near] >> mixcoder.KEY_SHIFT), np.append(u, reader.key[near] & ((1 << mixcoder.KEY_SHIFT) - 1))
+    want = np.searchsorted(reader.key, (c << mixcoder.KEY_SHIFT) | u, side="right")
+    searched = []
+    plain = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, **kw: searched.append(len(v)) or plain(a, v, **kw))
+    assert (reader.find(c, u) == want).all() and 0 < sum(searched) < len(c) / 2
+
+
 def test_repeats_sort_only_segments_that_share_a_minimizer(monkeypatch):
     rng = np.random.default_rng(5)
     copy, passage = bytes(rng.integers(97, 123, 4000).astype(np.uint8)), bytes(rng.integers(97, 123, 500).astype(np.uint8))

@@ -32,6 +32,8 @@ EARNED = 256  # the unit in which earnings are summed
 EARLY = 32  # steps that the encoder prices with a table of their own
 LEARN_STEPS = 4  # weights learn from every fourth step
 KEY_SHIFT = 40  # an order-1 breakpoint is below this, its context above it
+STATE_BITS = 7  # an order-2 state + 1
+PROBES = 4  # keys after a slot's first one that the decoder looks at, before it searches them all
 U = np.uint64
 I = np.int64
 
@@ -243,14 +245,14 @@ def encode_block(ids: np.ndarray) -> bytes:
         early = [g for g in generations if g[1] <= EARLY]  # their pairs are few
         for some in (early, generations[len(early) :]):
             if some:
-                _encode(columns[: some[-1][1]], some, model, out)
+                _encode(columns[: some[-1][1]], some, model, out, some[-1][1] == steps)
     words = out.finish()
     rest = zlib.compress(np.packbits(there).tobytes(), 9)
     rest += np.array([len(w) for w in words], "<u4").tobytes() + b"".join(w.tobytes() for w in words)
     return MAGIC + struct.pack("<5I", n, lanes, zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(rest), alphabet) + rest
 
 
-def _encode(columns: np.ndarray, generations: list[tuple[int, int]], model: _Model, out: _Writer) -> None:
+def _encode(columns: np.ndarray, generations: list[tuple[int, int]], model: _Model, out: _Writer, last: bool) -> None:
     key, place = _ranked(_pairs(columns))
     none = len(key)
     own_of = key >> ID_BITS
@@ -265,23 +267,25 @@ def _encode(columns: np.ndarray, generations: list[tuple[int, int]], model: _Mod
         model.build(raw, first)
         start_of, width_of, part_of = model.one(own_of, key & ((1 << ID_BITS) - 1), model.sums1[:-1] - model.base1[own_of], model.n1)
         state = guesses.states()
-        share = model.weights2.of(np.maximum(state, 0))
+        share = np.where(state >= 0, model.weights2.of(np.maximum(state, 0)), 0)
         x, p = columns[a:b], place[a:b]
         c = own_of[p]
         start, width1, own1, total = start_of[p], width_of[p], part_of[p], model.total1[c]
         j = np.full(p.shape, none, np.int32)
         j[1 if a == 0 else 0 :] = place[max(0, a - 1) : b - 1]
         state2 = state[j]
-        l2 = np.where(state2 >= 0, share[j], 0)
+        l2 = share[j]
         gap = l2 * total
         guess = guesses.guess[j]
-        m = np.where(state2 >= 0, SHARES - l2, 1)
+        m = np.where(l2 > 0, SHARES - l2, 1)
         own2 = np.where(x == guess, gap, 0)
         start = m * start + np.where(x > guess, gap, 0)
         width2 = m * width1 + own2
-        total = total * np.where(state2 >= 0, SHARES, 1)
+        total *= np.where(l2 > 0, SHARES, 1)
         for k in range(b - a):
             out.code(start[k].view(U), width2[k].view(U), total[k].view(U))
+        if last and b == len(columns):  # nothing is left to learn for
+            break
         step = slice(-a % LEARN_STEPS, None, LEARN_STEPS)
         model.learn(c[step].ravel(), own1[step].ravel(), width1[step].ravel(), state2[step].ravel(), own2[step].ravel(), width2[step].ravel())
         model.zero_counts += np.bincount(x.ravel(), minlength=model.alphabet)
@@ -315,29 +319,50 @@ class _Reader:
         self.zero, self.sums1, self.a1, self.b1, self.total1, self.first = model.zero, model.sums1, model.a1, model.b1, model.total1, first
         c, x = key >> ID_BITS, key & ((1 << ID_BITS) - 1)
         start, width, own = model.one(c, x, model.sums1[:-1] - model.base1[c], model.n1)
-        self.key = (c << KEY_SHIFT) | start
+        self.key = np.append((c << KEY_SHIFT) | start, np.iinfo(I).max)
+        # a context's interval is cut into as many equal slots as it has ids; where the keys of each slot begin
+        self.slots = np.diff(first)
+        slot = first[c] + start * self.slots[c] // model.total1[c]
+        self.guide = np.zeros(len(key) + 1, I)
+        np.cumsum(np.bincount(slot, minlength=len(key)), out=self.guide[1:])
         # order 1, by the pair: id, begin and end of its interval, the part that the counts give; one row is one line of cache
         self.pairs = np.zeros((len(key) + 1, 4), I)
         for k, v in enumerate((x, start, start + width, own)):
             self.pairs[:-1, k] = v
-        # order 2, by the pair before: multiple of the total, order 1's factor, the guess's own part, begin and end of its interval, its pair
+        # order 2, by its state + 1: the guess's share, order 1's factor, multiple of the total
+        shares = model.weights2.of(np.arange(len(model.weights2.seen)))
+        self.share, self.factor, self.times = np.append(0, shares), np.append(1, SHARES - shares), np.append(1, np.full(len(shares), SHARES))
+        # order 2, by the pair before: begin and end of the guess's interval, its pair and the state + 1; half a line of cache
         state = guesses.states()
         there = np.flatnonzero(state >= 0)
-        share = model.weights2.of(state[there])
-        c2 = x[there] + 1
+        c2, state = x[there] + 1, state[there] + 1
         g = np.searchsorted(key, (c2 << ID_BITS) | guesses.guess[there])
-        rows = np.zeros((len(key) + 1, 8), I)
-        rows[:, 0], rows[:, 1], rows[:, 3], rows[:, 4], rows[:, 6] = 1, 1, 1 << 62, 1 << 62, -1
-        gap = share * model.total1[c2]
-        begin = (SHARES - share) * start[g]
-        for k, v in enumerate((SHARES, SHARES - share, gap, begin, begin + gap + (SHARES - share) * width[g], g, state[there])):
-            rows[there, k] = v
-        self.rows = rows
+        begin = self.factor[state] * start[g]
+        self.rows = np.full((len(key) + 1, 4), 1 << 62, I)
+        self.rows[:, 2] = 0
+        self.rows[there, 0], self.rows[there, 2] = begin, (g << STATE_BITS) | state
+        self.rows[there, 1] = begin + self.share[state] * model.total1[c2] + self.factor[state] * width[g]
+
+    def find(self, c: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """How many keys are at most (c, u): from the slot's first one on, the few that remain after that by a search of all."""
+        want = (c << KEY_SHIFT) | u
+        q = self.guide[self.first[c] + u * self.slots[c] // self.total1[c]]
+        left = np.flatnonzero(self.key[q] <= want)
+        for _ in range(PROBES):
+            if not len(left):
+                return q
+            at = q[left] + 1
+            q[left] = at
+            left = left[self.key[at] <= want[left]]
+        q[left] = np.searchsorted(self.key, want[left], side="right")
+        return q
 
     def step(self, c: np.ndarray, j: np.ndarray, code: np.ndarray, rng: np.ndarray, words: np.ndarray, at: np.ndarray, said: list | None) -> tuple[np.ndarray, np.ndarray]:
         """Decodes an id of every lane; returns the next contexts."""
-        times, m, gap, begin, end, guess, state = np.ascontiguousarray(self.rows.take(j, axis=0).T)[:7]
-        total = self.total1[c] * times
+        begin, end, guess = np.ascontiguousarray(self.rows.take(j, axis=0).T)[:3]
+        state, total = guess & ((1 << STATE_BITS) - 1), self.total1[c]
+        m, gap = self.factor[state], self.share[state] * total
+        total *= self.times[state]
         r = rng // total.view(U)
         v = np.minimum((code // r).view(I), total - 1)
         above = v >= end
@@ -345,8 +370,8 @@ class _Reader:
         left = np.flatnonzero(~hit)
         cl = c[left]
         ul = (v[left] - np.where(above[left], gap[left], 0)) // m[left]
-        pair = guess
-        q = np.searchsorted(self.key, (cl << KEY_SHIFT) | ul, side="right")
+        pair = guess >> STATE_BITS
+        q = self.find(cl, ul)
         if self.none:
             pair[left] = np.maximum(q - 1, 0)
             x, start, end1, own = np.ascontiguousarray(self.pairs.take(pair, axis=0).T)
@@ -369,13 +394,13 @@ class _Reader:
         start = m * start + np.where(above, gap, 0)
         width2 = m * width + own2
         if said is not None:
-            said.append((c, own, width, state, own2, width2))
+            said.append((c, own, width, state - 1, own2, width2))
         code -= start.view(U) * r
         np.multiply(width2.view(U), r, out=rng)
         small = np.flatnonzero(rng < U(1 << 48))
         while len(small):
             w = at[small]
-            code[small] = (code[small] << U(16)) | words[np.minimum(w, len(words) - 1)]
+            code[small] = (code[small] << U(16)) | words[np.minimum(w, len(words) - 1)].astype(U)
             at[small] = w + 1
             part = rng[small] << U(16)
             rng[small] = part
@@ -395,9 +420,11 @@ def decode_block(block: bytes) -> np.ndarray:
     there = np.unpackbits(np.frombuffer(bitmap.decompress(block[24:]), np.uint8))
     payload = bitmap.unused_data
     sizes = np.frombuffer(payload, "<u4", lanes).astype(I)
-    words = np.append(np.frombuffer(payload, "<u2", offset=4 * lanes), np.zeros(8, "<u2")).astype(U)
+    words = np.append(np.frombuffer(payload, "<u2", offset=4 * lanes), np.zeros(8, "<u2"))
     at = np.cumsum(sizes) - sizes
-    code = (words[at] << U(48)) | (words[at + 1] << U(32)) | (words[at + 2] << U(16)) | words[at + 3]
+    code = np.zeros(lanes, U)
+    for k in range(4):
+        code = (code << U(16)) | words[at + k].astype(U)
     at += 4
     rng = np.full(lanes, (1 << 64) - 1, U)
     columns = np.zeros((steps, lanes), I)
@@ -418,6 +445,8 @@ def decode_block(block: bytes) -> np.ndarray:
             columns[step] = c - 1
             if not reader.none:
                 j = np.zeros(lanes, I)  # no pair is known yet, so no guess
+        if b == steps:  # nothing is left to learn for
+            break
         nothing = [np.zeros(0, I)] * 6
         model.learn(*(np.concatenate(part) for part in zip(nothing, *said, strict=True)))
         model.zero_counts += np.bincount(columns[a:b].ravel(), minlength=alphabet)

@@ -17,7 +17,6 @@ from __future__ import annotations
 import functools
 import itertools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidelake.llm.common import Stage
 from tidelake.llm.mixcoder import decode_block, encode_block
-from tidelake.llm.words import batches_of, distinct_words, word_bounds
+from tidelake.llm.words import SPACE, batches_of, distinct_words, word_bounds
 
 BLOCK_IDS = 1 << 21
 BATCH_BYTES = 16 << 20
@@ -39,16 +38,55 @@ FILE = "part int, block int, doc_ids array<bigint>, counts array<bigint>, first_
 
 
 # The vocabulary's pre-tokenizer parts letters, single digits and runs of other characters; only an apostrophe can bind what is
-# on both sides of such a border, and only '<', '|' and '>' occur in special tokens.
-_KIND = np.array([1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 if 32 < b < 127 and chr(b) not in "'<|>" else 0 for b in range(128)] + [0] * 128, np.uint8)
-_APART = np.array([a > 0 and b > 0 and (a != b or a == 2) for a in range(4) for b in range(4)])
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+# on both sides of such a border, and only '<', '|' and '>' occur in special tokens. Bytes from 128 on are of no kind here, but for
+# letters of two bytes, the first of which is LEAD.
+_KIND = bytes([1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 if 32 < b < 127 and chr(b) not in "'<|>" else 0 for b in range(128)] + [0] * 128)
+_LOWER = bytes([b + 32 if 65 <= b <= 90 else b for b in range(256)])
+_BLANK = bytes(SPACE.view(np.uint8))
 # Latin letters of one or two bytes that no normal form changes; byte-level vocabularies write bytes 33-126, 161-172 and 174-255 as
-# the characters of those numbers and the rest, in order, as the characters from 256 on.
-_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+# the characters of those numbers and the rest, in order, as the characters from 256 on. Capitals of two bytes end in 128 to 158.
+LEAD = 0xC3
+_LETTER_END = np.array([128 <= b < 192 and b not in (0x97, 0xB7) for b in range(256)])
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_SPELT = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
-_TRIAL = ["a", "theory", "zzxqj", "\u00e9t\u00e9", "\u00d1and\u00da", "\u00df\u00fe\u00ff\u00c0\u00d6\u00d8\u00f6\u00f8", "pneumonoultramicroscopic"]
+_SPELT = np.arange(256, dtype="<u4")
+_SPELT[[b for b in range(256) if b not in _PLAIN]] = 256 + np.arange(256 - len(_PLAIN))
+_TRIAL = [w.encode() for w in ("a", "theory", "zzxqj", "\u00e9t\u00e9", "\u00d1and\u00da", "\u00df\u00fe\u00ff\u00c0\u00d6\u00d8\u00f6\u00f8", "pneumonoultramicroscopic")]
+
+
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of an array of binary, and where each value begins (and the end)."""
+    _, offsets, data = words.buffers()
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    kind = np.frombuffer(bytearray(data.tobytes().translate(_KIND)), np.uint8)
+    lead = np.flatnonzero(data[:-1] == LEAD)
+    lead = lead[_LETTER_END[data[lead + 1]]]
+    kind[lead] = kind[lead + 1] = 1
+    return kind
+
+
+def _latin(words: pa.Array) -> np.ndarray:
+    """Which words are Latin letters alone."""
+    data, offsets = _bytes_of(words)
+    other = np.concatenate([[0], np.cumsum(_kinds(data) != 1)])[offsets]
+    return (other[1:] == other[:-1]) & (offsets[1:] > offsets[:-1])
+
+
+def _taken(ids: np.ndarray, n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of ``n`` ids, those at these places, laid end to end; and where each begins (and the end)."""
+    if not len(place):
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
+    stops = np.concatenate([[0], np.cumsum(4 * n)])
+    runs = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(stops), pa.py_buffer(ids)])
+    _, offsets, data = runs.take(pa.array(place)).buffers()
+    offsets = np.frombuffer(offsets, np.int64)[: len(place) + 1] >> 2
+    return np.frombuffer(data, np.int32)[: offsets[-1]], offsets
 
 
 class WordTokenizer:
@@ -59,31 +97,47 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # every word comes once, so the library's own cache of words only costs time
         self.known = pa.array([], pa.binary())
-        self.at, self.n, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.int32)
-        self.direct = False
-        self.direct = self._encoded(_TRIAL) == [self._piece(w) for w in _TRIAL]
-
-    def _piece(self, word: str) -> list[int]:
-        """Ids of one word of Latin letters."""
-        return [t.id for t in self.tokenizer.model.tokenize(word.lower().encode().decode("latin-1").translate(_SPELT))]
-
-    def _encoded(self, texts: list[str]) -> list[list[int]]:
-        out: list = [None] * len(texts)
-        if self.direct:
-            model, latin = self.tokenizer.model, _LATIN.fullmatch
-            for k, word in enumerate(texts):
-                if latin(word):
-                    spelt = word.lower() if word.isascii() else word.lower().encode().decode("latin-1").translate(_SPELT)
-                    out[k] = [t.id for t in model.tokenize(spelt)]
-        rest = [k for k, ids in enumerate(out) if ids is None]
+        self.n, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.int32)  # the known words' ids, in order
+        trial = pa.array(_TRIAL, pa.binary())
+        self.direct = all(map(np.array_equal, self._whole(trial), self._pieces(trial)))
+
+    def _pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words of Latin letters, and how many each word has."""
+        data, offsets = _bytes_of(words)
+        low = np.frombuffer(data.tobytes().translate(_LOWER), np.uint8)
+        low = low + ((data >= 128) & (data < 159)).view(np.uint8) * np.uint8(32)
+        spelt = _SPELT[low].tobytes().decode("utf-32-le")  # a character a byte
+        tokenize, ids, n = self.tokenizer.model.tokenize, [], []
+        for a, b in itertools.pairwise(offsets.tolist()):
+            found = tokenize(spelt[a:b])
+            ids += [t.id for t in found]  # one flat list: many small ones would keep the garbage collector busy
+            n.append(len(found))
+        return np.array(ids, np.int32), np.array(n, np.int64)
+
+    def _whole(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of any words, the whole way."""
+        texts, ids, n = words.cast(pa.string()).to_pylist(), [], []
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for at in range(0, len(rest), 8192):
-            some = rest[at : at + 8192]
-            for k, e in zip(some, encode([texts[k] for k in some], add_special_tokens=False), strict=True):
-                out[k] = e.ids
-        return out
+        for at in range(0, len(texts), 8192):
+            for e in encode(texts[at : at + 8192], add_special_tokens=False):
+                found = e.ids
+                ids += found
+                n.append(len(found))
+        return np.array(ids, np.int32), np.array(n, np.int64)
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not self.direct:
+            return self._whole(words)
+        latin = _latin(words)
+        ids, n = zip(self._pieces(words.filter(pa.array(latin))), self._whole(words.filter(pa.array(~latin))), strict=True)
+        ids, n = np.concatenate(ids), np.concatenate(n)
+        place = np.empty(len(words), np.int64)
+        place[latin], place[~latin] = np.arange(latin.sum()), np.arange(latin.sum(), len(words))
+        return _taken(ids, n, place)[0], n[place]
 
     @staticmethod
     @functools.lru_cache(maxsize=2)
@@ -91,35 +145,30 @@ class WordTokenizer:
         """One a process: a worker's later tasks meet the same words."""
         return WordTokenizer(path)
 
-    def _ids(self, place: np.ndarray) -> np.ndarray:
-        n = self.n[place]
-        total = np.cumsum(n)
-        return self.pool[np.repeat(self.at[place] - (total - n), n) + np.arange(int(n.sum()))]
-
     def _learn(self, words: pa.Array) -> None:
-        found = self._encoded(words.cast(pa.string()).to_pylist())
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        fresh = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(n.sum()))
+        fresh, n = self._encoded(words)
         if len(self.n) + len(n) > self.most:  # words of several batches stay, up to half of the room
             keep = np.sort(np.argsort(-self.uses, kind="stable")[: self.most // 2])
             keep = keep[self.uses[keep] > 1]
-            self.pool, self.n, self.uses = self._ids(keep), self.n[keep], self.uses[keep] >> 1
-            self.at = np.cumsum(self.n) - self.n
+            self.pool, self.n, self.uses = _taken(self.pool, self.n, keep)[0], self.n[keep], self.uses[keep] >> 1
             self.known = self.known.take(pa.array(keep))
         self.known = pa.concat_arrays([self.known, words])
-        self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(n) - n])
         self.n = np.concatenate([self.n, n])
         self.uses = np.concatenate([self.uses, np.zeros(len(n), np.int64)])
         self.pool = np.concatenate([self.pool, fresh])
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of neighbouring texts, and how many each text has."""
-        low, kind = _LOWER[data], _KIND[data]
-        starts, ends = word_bounds(data, offsets, cuts=np.flatnonzero(_APART[kind[:-1] * np.uint8(4) + kind[1:]]) + 1)
+        raw, kind = data.tobytes(), _kinds(data)
+        low = np.frombuffer(bytearray(raw.translate(_LOWER)), np.uint8)
+        blank = np.frombuffer(raw.translate(_BLANK), bool)
+        a, b = kind[:-1], kind[1:]
+        cuts = np.flatnonzero((a > 0) & (b > 0) & ((a != b) | (a == 2))) + 1
+        starts, ends = word_bounds(data, offsets, cuts=cuts, blank=blank)
         odd = np.flatnonzero(data == 60)  # a special token is spelt in one case only, so words with '<' keep theirs
         for w in np.unique(np.searchsorted(starts, odd, side="right") - 1).tolist():
             low[starts[w] : ends[w]] = data[starts[w] : ends[w]]
-        words, where = distinct_words(low, starts, ends)
+        words, where = distinct_words(low, starts, ends, blank=blank)
         place = pc.index_in(words, value_set=self.known)
         if place.null_count:
             before, new = len(self.n), place.is_null().to_numpy(zero_copy_only=False)
@@ -132,14 +181,13 @@ class WordTokenizer:
                 place = pc.index_in(words, value_set=self.known)
             if place.null_count:  # words of this batch had to go
                 self.known = self.known.slice(0, 0)
-                self.at, self.n, self.uses, self.pool = self.at[:0], self.n[:0], self.uses[:0], self.pool[:0]
+                self.n, self.uses, self.pool = self.n[:0], self.uses[:0], self.pool[:0]
                 self._learn(words)
                 place = pc.index_in(words, value_set=self.known)
         place = place.to_numpy()
         self.uses[place] += 1
-        found = place[where]
-        total = np.concatenate([[0], np.cumsum(self.n[found])])
-        return self._ids(found), np.diff(total[np.searchsorted(starts, offsets)])
+        ids, at = _taken(self.pool, self.n, place[where])
+        return ids, np.diff(at[np.searchsorted(starts, offsets)])
 
 
 def _write(path: str, end_id: int, block_ids: int):

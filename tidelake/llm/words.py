@@ -30,11 +30,11 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE, cuts: np.ndarray | None = None, blank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of texts laid end to end; words never cross an offset. ``space``: bytes outside words; ``cuts``:
-    places where a word is cut in two."""
+    places where a word is cut in two; ``blank``: which of ``data`` are spaces, where that is known."""
     inside = np.zeros(len(data) + 2, bool)
-    np.logical_not(space[data], out=inside[1:-1])
+    np.logical_not(space[data] if blank is None else blank, out=inside[1:-1])
     cut = np.zeros(len(data) + 1, bool)  # cut[i]: a text ends before byte i
     cut[offsets] = True
     if cuts is not None:
@@ -75,11 +75,12 @@ def batches_of(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, np.n
         i = j
 
 
-def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, space: np.ndarray = SPACE) -> tuple[pa.Array, np.ndarray]:
-    """The distinct words (compared byte by byte), and each word's place among them; the words are all of ``data`` but its spaces."""
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, space: np.ndarray = SPACE, blank: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words (compared byte by byte), and each word's place among them; the words are all of ``data`` but its spaces
+    (``blank``, where that is known)."""
     at = np.zeros(len(starts) + 1, np.int32)
     np.cumsum(ends - starts, out=at[1:])
-    letters = data[~space[data]]  # the words laid end to end
+    letters = data[~(space[data] if blank is None else blank)]  # the words laid end to end
     coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(letters)]).dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy()
 
