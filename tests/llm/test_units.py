@@ -314,6 +314,12 @@ def test_accented_words_are_parted_from_what_follows(vocabulary):
     assert {"\u00e9t\u00e9", "\u00c9t\u00c9", ".\u00d7."} <= known and not {"\u00e9t\u00e9.", "\u00c9t\u00c9,", "\u00e9t\u00e91"} & known
 
 
+def test_capitals_before_marks_keep_their_case(vocabulary):
+    plain = pytest.importorskip("tokenizers").Tokenizer.from_file(vocabulary)
+    texts = ["T\u0308 t\u0308 xJ\u030c xj\u030c", "H\u0331W\u0323\u030aY\u030a", "T\u0308", "t\u0308", "I\u0307", "AB\u0416", "TU \u0308"]
+    assert _texts_ids(tokenfile.WordTokenizer(vocabulary), texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_the_decoder_finds_keys_without_searching_them_all(monkeypatch):
     rng = np.random.default_rng(9)
     model, alphabet = mixcoder._Model(300), 300

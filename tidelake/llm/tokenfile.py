@@ -165,7 +165,11 @@ class WordTokenizer:
         a, b = kind[:-1], kind[1:]
         cuts = np.flatnonzero((a > 0) & (b > 0) & ((a != b) | (a == 2))) + 1
         starts, ends = word_bounds(data, offsets, cuts=cuts, blank=blank)
-        odd = np.flatnonzero(data == 60)  # a special token is spelt in one case only, so words with '<' keep theirs
+        # a special token is spelt in one case only, so words with '<' keep theirs; so do words with a capital before a mark, as the normal
+        # form comes first and may bind the mark to the small letter alone
+        odd = data == 60
+        odd[:-1] |= (data[:-1] - np.uint8(65) < 26) & (data[1:] > LEAD)
+        odd = np.flatnonzero(odd)
         for w in np.unique(np.searchsorted(starts, odd, side="right") - 1).tolist():
             low[starts[w] : ends[w]] = data[starts[w] : ends[w]]
         words, where = distinct_words(low, starts, ends, blank=blank)
