@@ -1,6 +1,7 @@
 """Parts without Spark: hashing, suffix sorting, coding, packing, alignment, search, filters."""
 
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -279,6 +280,40 @@ def test_filter_decides_as_plain_sets_do():
         assert hits[b] >= max(hits) - 0.02 * len(grams(t)) and abs(s - hits[b] / max(1, sum(hits))) < 0.05
 
 
+def language_batch(texts):
+    return pa.RecordBatch.from_arrays([pa.array(["x"] * len(texts)), pa.array(texts)], ["lang", "text"])
+
+
+def test_language_arrays_do_not_grow_with_the_batch():
+    rng = np.random.default_rng(9)
+    text = " ".join(" ".join("".join(w) for w in rng.choice(list("abcdefghi"), (4000, 6))) for _ in range(10))
+    model = langid.BitmaskFilter(["x", "y"], {"x": np.arange(500), "y": np.arange(400, 900)})
+    for texts in ([text[:2000]] * 8000, [text * 50]):  # 14 MB or more, as many texts and as one
+        batch = language_batch(texts)
+        for work in (lambda: model.judge(batch.column(1)), lambda: list(langid._count(iter([batch])))):
+            tracemalloc.start()
+            work()
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            assert peak < 16e6
+
+
+def test_language_pieces_change_nothing(monkeypatch):
+    texts = ["", None, "a", "Ab cd", "\u00c0 \u00c9t\u00e9 " * 9, "abc, defg; hi " * 40, " ", "x" * 64, "\u00df\u1e9e" * 33]
+    batch = language_batch(texts)
+    grams, n = langid._tally(batch.column(1))
+    model = langid.BitmaskFilter(["x", "y"], {"x": grams[::2], "y": langid._tally(pa.array(texts[-1:]))[0]})
+    want = model.judge(batch.column(1))
+    assert len(set(want[0].tolist())) == 2 and n.sum() == sum(len((t or "").lower().encode()) for t in texts) - sum((t or "").count(x) for t in texts for x in " ,;")
+    for piece, tally in ((1, 1), (2, 5), (7, 100), (64, 1)):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        monkeypatch.setattr(langid, "TALLY", tally)
+        assert all((a == b).all() for a, b in zip(model.judge(batch.column(1)), want, strict=True))
+        assert all((a == b).all() for a, b in zip(langid._tally(batch.column(1)), (grams, n), strict=True))
+        [out] = langid._count(iter([batch]))
+        assert out.column(1).to_pylist() == grams.tolist() and out.column(2).to_pylist() == n.tolist()
+
+
 def test_bitmask_filter_answers_all_languages():
     grams = {"x": np.arange(0, 500), "y": np.arange(400, 900)}
     made = langid.BitmaskFilter(["x", "y"], grams)

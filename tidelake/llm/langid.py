@@ -23,6 +23,8 @@ SAMPLE_DOCS = 2000  # training documents a language, about
 TOP_GRAMS = 20_000  # n-grams kept a language
 WORD_LANGUAGES = 63  # languages a mask word
 SLOTS, PROBES = 1 << 18, 2
+PIECE = 1 << 17  # bytes of text at a time
+TALLY = 1 << 18  # counted n-grams before equal ones are added up
 
 _BYTES = np.full(256, 32, np.uint8)
 _BYTES[97:123] = np.arange(97, 123)
@@ -30,14 +32,19 @@ _BYTES[128:] = np.arange(128, 256)
 
 
 def _grams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, n-grams, number up to each text's end); texts are padded with blanks."""
-    padded = pc.binary_join_element_wise(pa.scalar(" "), pc.utf8_lower(column.fill_null("")), pa.scalar("   "), "")
-    for i, data, offsets in batches_of(padded):
-        wide = _BYTES[data]
-        g = np.ndarray(max(0, len(wide) - 3), "<u4", wide.tobytes(), strides=(1,))
-        use = wide[1 : 1 + len(g)] != 32
-        ends = np.concatenate([[0], np.cumsum(use)])
-        yield i, np.ascontiguousarray(g)[use], ends[np.minimum(offsets, len(g))]
+    """(first text, n-grams, number up to each text's end) of pieces of at most ``PIECE`` bytes; a longer text comes in several
+    pieces, one after the other. Texts are padded with blanks, so no n-gram crosses two."""
+    column = column.fill_null("")
+    for first, _, bounds in batches_of(column):
+        texts = column.slice(first, len(bounds) - 1)
+        padded = pc.binary_join_element_wise(pa.scalar(" "), pc.utf8_lower(texts), pa.scalar("   "), "")
+        for i, data, offsets in batches_of(padded, PIECE):
+            for at in range(0, len(data) - 3, PIECE):
+                wide = _BYTES[data[at : at + PIECE + 3]]
+                g = np.ndarray(len(wide) - 3, "<u4", wide, strides=(1,))
+                use = wide[1:-2] != 32
+                ends = np.concatenate([[0], np.cumsum(use)])
+                yield first + i, g[use], ends[np.clip(offsets - at, 0, len(g))]
 
 
 def _probes(grams: np.ndarray) -> list[np.ndarray]:
@@ -47,13 +54,33 @@ def _probes(grams: np.ndarray) -> list[np.ndarray]:
     return [((h >> np.uint64(20 * k + 8)) & np.uint64(SLOTS - 1)).astype(np.int64) for k in range(PROBES)]
 
 
+def _tally(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of all texts, and how often each occurs."""
+    grams, counts, held = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+
+    def add_up() -> None:
+        distinct, of = np.unique(np.concatenate(grams), return_inverse=True)
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, of, np.concatenate(counts))
+        grams[:], counts[:] = [distinct], [total]
+
+    for _, g, _ in _grams(column):
+        for done, new in zip((grams, counts), np.unique(g, return_counts=True), strict=True):
+            done.append(new)
+        held += len(grams[-1])
+        if held > TALLY:
+            add_up()
+            held = 0
+    add_up()
+    return grams[0], counts[0]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
         for lang in sorted(set(langs.tolist())):
-            part = batch.column(1).filter(pa.array(langs == lang))
-            grams, counts = np.unique(np.concatenate([g for _, g, _ in _grams(part)] or [np.zeros(0, np.uint32)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(counts.astype(np.int64))], ["lang", "gram", "n"])
+            grams, counts = _tally(batch.column(1).filter(pa.array(langs == lang)))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
 
 class BitmaskFilter:
@@ -78,20 +105,20 @@ class BitmaskFilter:
 
     def judge(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Index of the language and its share of the corrected hits, per text."""
-        best, score = np.zeros(len(column), np.int64), np.zeros(len(column))
+        total, hits = np.zeros(len(column), np.int64), np.zeros((len(self.languages), len(column)))
         for i, grams, ends in _grams(column):
-            total = np.diff(ends)
-            hits = np.empty((len(self.languages), len(total)))
-            for k, fp in enumerate(self.false_rate):
+            rows = slice(i, i + len(ends) - 1)
+            total[rows] += np.diff(ends)
+            for k in range(len(self.languages)):
                 word, bit = divmod(k, WORD_LANGUAGES)
                 if not bit:
                     masks = self.languages_of(grams, word)
                 seen = np.concatenate([[0], np.cumsum((masks >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
-                hits[k] = np.maximum((seen[ends[1:]] - seen[ends[:-1]] - fp * total) / max(1e-9, 1 - fp), 0)
-            j = np.where(hits.max(0) > 0, hits.argmax(0), self.common)
-            best[i : i + len(j)] = j
-            score[i : i + len(j)] = hits.max(0) / np.maximum(hits.sum(0), 1e-9)
-        return best, np.clip(score, 0, 1)
+                hits[k, rows] += seen[ends[1:]] - seen[ends[:-1]]
+        for k, fp in enumerate(self.false_rate):
+            hits[k] = np.maximum((hits[k] - fp * total) / max(1e-9, 1 - fp), 0)
+        best = np.where(hits.max(0) > 0, hits.argmax(0), self.common)
+        return best, np.clip(hits.max(0) / np.maximum(hits.sum(0), 1e-9), 0, 1)
 
 
 def fit(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, top_grams: int = TOP_GRAMS) -> BitmaskFilter:
@@ -134,7 +161,7 @@ def identify(docs: DataFrame, model: BitmaskFilter, text_col: str = "text", pred
         names = [*shared.value.languages, "und"]
         for batch in batches:
             column = batch.column(at).cast(pa.string())
-            spoken = pc.match_substring_regex(column.fill_null(""), r"\pL").to_numpy(zero_copy_only=False) & (len(names) > 1)
+            spoken = pc.match_substring_regex(column, r"\pL").fill_null(False).to_numpy(zero_copy_only=False) & (len(names) > 1)
             if len(names) > 1:
                 best, score = shared.value.judge(column)
             else:
